@@ -69,27 +69,37 @@ class Model:
         return lang, score
 
 
-def solve(x: np.ndarray, lang: list[str], landmarks: int = 400, ridge: float = 1e-3) -> Model:
-    """Kernel ridge regression on presence rows ``x`` in the span of evenly taken landmarks."""
+def solve(bits: np.ndarray, lang: list[str], landmarks: int = 400, ridge: float = 1e-3) -> Model:
+    """Kernel ridge regression in the span of evenly taken landmarks; a row of ``bits`` has SPACE / 8 bytes.
+
+    Only the landmarks' vectors and a block of the others are ever unpacked.
+    """
     names = sorted(set(lang))
     if not names:
         return Model([], np.zeros((SPACE, 0), np.float32))
-    x = x.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+        return x
+
     y = np.where(np.array(lang)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # Languages take turns, so that rare ones have landmarks too.
     turn = np.zeros(len(lang))
     for k in names:
         own = np.flatnonzero(np.array(lang) == k)
         turn[own] = np.arange(len(own))
-    mark = np.argsort(turn, kind="stable")[: min(landmarks, len(x))]
-    knm = (x @ x[mark].T).astype(np.float64)
+    mark = np.argsort(turn, kind="stable")[:landmarks]
+    marks = unit(bits[mark])
+    knm = np.concatenate([unit(bits[s : s + 64]) @ marks.T for s in range(0, len(bits), 64)]).astype(np.float64)
     kmm = knm[mark]
     share = np.array([(np.array(lang) == k).mean() for k in names])
     weight = 1 / (len(names) * share[[names.index(k) for k in lang]])  # rare languages count as much as common ones
-    a = (knm * weight[:, None]).T @ knm + ridge * len(x) * kmm + 1e-8 * np.eye(len(mark))
+    a = (knm * weight[:, None]).T @ knm + ridge * len(bits) * kmm + 1e-8 * np.eye(len(mark))
     beta = np.linalg.solve(a, (knm * weight[:, None]).T @ y)
-    return Model(names, (x[mark].T.astype(np.float64) @ beta).astype(np.float32))
+    # Large coefficients of both signs cancel, so the sums are made in double precision, a stretch of the space at a time.
+    weights = np.concatenate([marks[:, s : s + 1024].T.astype(np.float64) @ beta for s in range(0, SPACE, 1024)])
+    return Model(names, weights.astype(np.float32))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 2_000, landmarks: int = 400) -> Model:
@@ -117,8 +127,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "lang", "bits"])
 
     got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, lang string, bits binary").limit(sample).collect())
-    x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in got), np.uint8)).reshape(-1, SPACE)
-    return solve(x, [r[1] for r in got], landmarks)
+    bits = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, SPACE // 8)
+    return solve(bits, [r[1] for r in got], landmarks)
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
