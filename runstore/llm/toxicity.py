@@ -81,15 +81,17 @@ class Model:
         return -np.expm1(-out)
 
 
-def telling(words: np.ndarray, toxic: np.ndarray, base: float) -> np.ndarray:
+def telling(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, base: float) -> np.ndarray:
     """Buckets whose documents are toxic more often than chance explains.
 
-    words, toxic: the bucket and label of every distinct pair of document and bucket. By Chernoff's bound a bucket of n
-    documents reaches its share k/n by chance with a probability under exp(-n KL(k/n, base)); those are kept for which
-    one such bucket or less is expected among all.
+    By Chernoff's bound a bucket of n documents reaches its share k/n by chance with a probability under
+    exp(-n KL(k/n, base)); those are kept for which one such bucket or less is expected among all.
     """
-    n = np.bincount(words, minlength=SPACE).astype(np.float64)
-    k = np.bincount(words, toxic, minlength=SPACE)
+    n, k = np.zeros(SPACE), np.zeros(SPACE)
+    for (words, _), t in zip(bags, toxic):
+        own = np.unique(words)
+        n[own] += 1
+        k[own] += t
     share = k / np.maximum(n, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
@@ -106,18 +108,18 @@ def solve(bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, steps: i
     if not 0 < base < 1:
         return Model(np.zeros(SPACE, np.float32), -30.0, 30.0 if base else -30.0)
     y = label.astype(np.float64)
-    words = np.concatenate([w for w, _ in bags])
-    sizes = np.concatenate([s for _, s in bags])
+    vocab = telling(bags, y, base)
+    local = np.full(SPACE, -1, np.int32)
+    local[vocab] = np.arange(len(vocab))
     per_doc = np.array([len(s) for _, s in bags])
     doc = np.repeat(np.arange(len(bags)), per_doc)
-    doc_of_word = np.repeat(doc, sizes)
-    pairs = np.unique(doc_of_word.astype(np.int64) * SPACE + words)
-    vocab = telling(pairs % SPACE, y[pairs // SPACE], base)
-    local = np.full(SPACE, -1, np.int64)
-    local[vocab] = np.arange(len(vocab))
-    known = local[words] >= 0
-    w_at, s_at = local[words][known], np.repeat(np.arange(len(sizes)), sizes)[known]
-    n_s, n_w = len(sizes), len(vocab)
+    w_at, s_at, first = [], [], 0
+    for words, sizes in bags:  # bag by bag, as all words together may be many
+        here = local[words]
+        w_at.append(here[here >= 0])
+        s_at.append(np.repeat(np.arange(first, first + len(sizes)), sizes)[here >= 0])
+        first += len(sizes)
+    w_at, s_at, n_s, n_w = np.concatenate(w_at), np.concatenate(s_at), first, len(vocab)
     theta = np.zeros(n_w + 2)  # words, bias of a sentence, leak
     theta[n_w:] = -6.0, np.log(base / (1 - base))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
