@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets form one class, and classes are the nodes.  Each of TREES sorted orders reads a
 signature from another place on; classes with a common prefix of at least BASE_DEPTH values in some order share a
-region, and a region of too many classes is divided by ever longer prefixes (adaptive depth).  Within a region,
-signatures compared whole select the pairs worth confirming.  Only as many are confirmed as it takes to know the
+region, and a region of too many classes is divided by ever longer prefixes (adaptive depth).  If that leaves it in
+several components, its classes meet block by block, so none of its pairs is lost.  Within a region, signatures
+compared whole select the pairs worth confirming.  Only as many are confirmed as it takes to know the
 components: first every class with the smallest similar one, then, in rounds of growing width, pairs that
 still lie in different components, until no region holds an untried pair across components.
 """
@@ -114,29 +115,38 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """region, node: the regions of two classes or more, none of more than about CROWD."""
+def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(region, node) of the regions of two to CROWD classes; and the regions that are larger, if any.
+
+    A larger one is also among the former, divided by longer prefixes, each part with the region's smallest node.
+    """
     prefix = lambda depth: F.xxhash64("tree", F.expr(f"substring(concat(signature, signature), tree * {2 * VALUES // TREES} + 1, {2 * depth})"))
     places = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    counted = lambda df: df.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slim = places.select("node", "tree", prefix(BASE_DEPTH).alias("region"))
-    sizes = shared.written(counted(slim), "sizes")
-    out = slim.join(sizes.where(f"n <= {CROWD}"), "region", "left_semi").select("region", "node")
-    crowd = shared.written(sizes.where(f"n > {CROWD}").select("region"), "crowd")
+    sizes = shared.written(places.select("node", prefix(BASE_DEPTH).alias("region")).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"), "sizes")
+    out = places.select("node", prefix(BASE_DEPTH).alias("region")).join(sizes.where(f"n <= {CROWD}"), "region", "left_semi").select("region", "node")
+    crowd = shared.written(sizes.where(f"n > {CROWD}"), "crowd")
     if crowd.isEmpty():
-        return out
-    rows = shared.written(places.withColumn("region", prefix(BASE_DEPTH)).join(crowd, "region", "left_semi"), "crowded")
+        return out, None
+    crowded = rows = shared.written(places.withColumn("region", prefix(BASE_DEPTH)).join(crowd, "region"), "crowded")
+    with_hub = lambda df: df.select("region", "node").unionByName(df.select("region", F.col("hub").alias("node"))).distinct()
     for depth in DEPTHS:
-        deeper = rows.withColumn("region", prefix(depth))
-        sizes = shared.written(counted(deeper), "sizes")
-        out = out.unionByName(deeper.join(sizes.where(f"n <= {CROWD}"), "region", "left_semi").select("region", "node"))
-        rows = shared.written(deeper.join(sizes.where(f"n > {CROWD}").select("region"), "region", "left_semi"), "crowded")
+        deeper = rows.drop("n").withColumn("region", F.xxhash64("hub", prefix(depth)))
+        sized = shared.written(deeper.join(deeper.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region"), "crowded")
+        out = out.unionByName(with_hub(sized.where(f"n <= {CROWD}")))
+        rows = sized.where(f"n > {CROWD}")
         if rows.isEmpty():
-            return out
-    # Signatures that are equal throughout: parts of about CROWD classes, each with the smallest of all as well.
-    first = rows.groupBy("region").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-    parts = shared.written(rows.join(first, "region").withColumn("region", F.xxhash64("region", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CROWD)))).select("region", "node", "first"), "parts")
-    return out.unionByName(parts.select("region", "node").unionByName(parts.select("region", F.col("first").alias("node"))).distinct())
+            break
+    # Signatures that are equal throughout: parts of about CROWD classes.
+    parts = rows.withColumn("region", F.xxhash64("region", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CROWD))))
+    return out.unionByName(with_hub(parts)), crowded.select("region", "node", "n")
+
+
+def _blocks(crowded: DataFrame) -> DataFrame:
+    """(region, node): every two blocks of a larger region as one region, so that any two of its nodes meet."""
+    count = F.ceil(2 * F.col("n") / CROWD).cast("int")
+    block = F.pmod(F.xxhash64("node"), count).cast("int")
+    met = crowded.select("region", "node", block.alias("i"), F.explode(F.sequence(F.lit(0), count - 1)).alias("j"))
+    return met.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "node")
 
 
 def _proposals(width: int, least: int, likely: int):
@@ -269,27 +279,36 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     spark, t = docs.sparkSession, percent / 100
     deviation = (t * (1 - t) / VALUES) ** 0.5
     least, likely = int(VALUES * (t - DEVIATIONS * deviation)), int(VALUES * (t - deviation))
-    regions = shared.written(_regions(classes).join(classes.select("node", "signature"), "node").select("region", "node", "signature"), "regions")
-    edges = spark.createDataFrame([], "a long, b long")
-    rows, width, known = regions.withColumn("component", F.col("node")), 0, None
-    while True:
-        ordered = rows.select("region", "node", "component", "signature").repartition("region").sortWithinPartitions("region")
-        found = shared.written(ordered.mapInArrow(_proposals(width, least, likely), "a long, b long, pair boolean").distinct(), "proposed")
-        pairs = found.where("pair").select("a", "b").distinct()
-        if not pairs.isEmpty():
-            edges = shared.written(edges.unionByName(_confirmed(docs, pairs, size, percent)), "links")
-            known = shared.written(components(edges), "components")
-        left = found.where("NOT pair").select(F.col("a").alias("region"))
-        if left.isEmpty():
-            break
-        # Regions that aren't done and lie in several components go on, with wider proposals.
-        rows = regions.join(left, "region", "left_semi")
-        if known is not None:
-            rows = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            rows = rows.withColumn("component", F.col("node"))
-        width = 2 if width == 0 else width * 4
-    return known if known is not None else spark.createDataFrame([], "node long, component long")
+    signatures = classes.select("node", "signature")
+    edges, known = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
+    apart = lambda df: df.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def rounds(regions: DataFrame, width: int) -> None:
+        nonlocal edges, known
+        regions = shared.written(regions.join(signatures, "node").select("region", "node", "signature"), "regions")
+        rows = apart(regions)
+        while True:
+            ordered = rows.select("region", "node", "component", "signature").repartition("region").sortWithinPartitions("region")
+            found = shared.written(ordered.mapInArrow(_proposals(width, least, likely), "a long, b long, pair boolean").distinct(), "proposed")
+            pairs = found.where("pair").select("a", "b").distinct()
+            if not pairs.isEmpty():
+                edges = shared.written(edges.unionByName(_confirmed(docs, pairs, size, percent)), "links")
+                known = shared.written(components(edges), "components")
+            left = found.where("NOT pair").select(F.col("a").alias("region"))
+            if left.isEmpty():
+                return
+            # Regions that aren't done and lie in several components go on, with wider proposals.
+            rows = apart(regions.join(left, "region", "left_semi"))
+            width = max(2, width * 4)
+
+    regions, crowded = _regions(classes)
+    rounds(regions, 0)
+    if crowded is not None:
+        mixed = apart(crowded).groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region")
+        mixed = shared.written(crowded.join(mixed, "region", "left_semi"), "mixed")
+        if not mixed.isEmpty():
+            rounds(_blocks(mixed), 2)
+    return known
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
