@@ -111,7 +111,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(~shared.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     h = F.xxhash64("doc_id", "lang")
-    top = shared.sample_rows(rows.select("doc_id", "lang"), h, sample)
+    top = shared.sample_limit(rows.select("doc_id", "lang"), h, sample)
     if top is not None:
         rows = rows.where(h <= top)
     shared.small_batches(docs.sparkSession)
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     out.append((doc, k, np.packbits(x).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "lang", "bits"])
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, lang string, bits binary").limit(sample).collect())
+    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, lang string, bits binary").orderBy("doc_id").limit(sample).collect())
     bits = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, SPACE // 8)
     return solve(bits, [r[1] for r in got], landmarks)
 

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("_toxic")).where("_toxic IN (0, 1)").where(~shared.held_out())
     h = F.xxhash64("doc_id")
-    top = shared.sample_rows(marks, h, sample)
+    top = shared.sample_limit(marks, h, sample)
     if top is not None:
         marks = marks.where(h <= top)
     marks = marks.groupBy("doc_id").agg(F.max("_toxic").alias("_toxic")).orderBy(h, "doc_id").limit(sample)
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             bags = [bag(t or "", bucket) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([s.tobytes() for _, s in bags], pa.binary())], ["doc_id", "toxic", "words", "sizes"])
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, toxic int, words binary, sizes binary").limit(sample).collect())
+    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, toxic int, words binary, sizes binary").orderBy("doc_id").limit(sample).collect())
     return solve([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in got], np.array([r[1] for r in got], np.int64), **options)
 
 
