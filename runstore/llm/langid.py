@@ -133,14 +133,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_language`` (lang_pred, score)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared.shipped(docs.sparkSession, model)
     shared.small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts):
         import pandas as pd
 
-        lang, score = sent.value.predict(texts.tolist())
+        lang, score = sent().predict(texts.tolist())
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return docs.withColumn("_language", run(F.col(text)))

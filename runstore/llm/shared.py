@@ -7,7 +7,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,22 @@ def worker_cache() -> dict:
     return home.__dict__.setdefault("kept", {})
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast an object of one of our classes; what is returned gives it in a worker, unpickled once a process.
+
+    Broadcasts are pickled by reference, which needs the package on the executors; this one is pickled by value.
+    """
+    name, data = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> object:
+        cache = worker_cache()
+        if cache.get("shipped", ("", None))[0] != name:
+            cache["shipped"] = (name, cloudpickle.loads(data.value))
+        return cache["shipped"][1]
+
+    return get
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -20,8 +20,6 @@ from . import shared
 
 #: Words are hashed to so many weights.
 SPACE = 1 << 18
-#: A sentence ends at one of these.
-ENDS = ".!?\n"
 _TRIM = ".,;:!?\"'()[]{}#*$%&|<>-_"
 #: Words whose weights a worker remembers before it forgets all.
 REMEMBERED = 500_000
@@ -167,14 +165,14 @@ def report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Null texts count as empty; a text without words gets the leak. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, **options))
+    sent = shared.shipped(docs.sparkSession, fit(docs, labels, doc_id, text, **options))
     shared.small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        return pd.Series(sent.value.score(texts.tolist()))
+        return pd.Series(sent().score(texts.tolist()))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("score", score("text"))
     return rows.select("doc_id", shared.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -182,7 +180,7 @@ def report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def located(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """The sentences whose own probability is at least ``least``: doc_id, start, stop (code points), score, sentence."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared.shipped(docs.sparkSession, model)
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +191,7 @@ def located(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 for start, stop in sentences(t or ""):
                     words, sizes = bag(t[start:stop], bucket)
                     if len(sizes):
-                        p = float(1 / (1 + np.exp(-sent.value.sentence_logits(words, sizes).max())))
+                        p = float(1 / (1 + np.exp(-sent().sentence_logits(words, sizes).max())))
                         if p >= least:
                             out.append((doc, start, stop, p, t[start:stop]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
