@@ -3,7 +3,8 @@
 Base rules find assignments, access keys and long hexadecimal runs.  Beyond them, candidate strings of a character
 class are scanned by a sliding window whose Shannon entropy is kept up by incremental counts: one character enters,
 one leaves, and only their two terms of the sum change.  Windows above the class's threshold make a span unless the
-candidate is on the allow-list or a base span overlaps it.  Offsets are code points, ends exclusive.
+candidate is on the allow-list.  Base spans and placeholders part candidates: what is left on either side of one is a
+candidate of its own.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -44,14 +45,16 @@ CLASSES = (
     CharClass("entropy_base64", "[A-Za-z0-9+/_-]{20,}", _DIGITS + _LOWER + _LOWER.upper() + "+/_-", 20, 3.75),
 )
 
+_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 #: Candidates that match one of these whole are no secrets.
 ALLOWED = (
     "[^0-9]+",  # words, identifiers and paths without a digit
     "[0-9_+/-]+",  # numbers, dates, telephone numbers
-    "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
+    _UUID,
     "(?:[a-z]*[0-9]{0,4}[/_-])*[a-z]*[0-9]{0,4}",  # paths and names in lower case with short numbers
-    ".*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*",  # placeholders and alphabets
 )
+#: Stretches of these are no part of a candidate: placeholders, alphabets, and whole UUIDs, which may have one inside.
+PLACEHOLDERS = (f"(?<![A-Za-z0-9+/_-]){_UUID}(?![A-Za-z0-9+/_-])", "EXAMPLE", "example", "0123456789", "abcdefghij", "ABCDEFGHIJ")
 
 
 @dataclass(frozen=True)
@@ -59,6 +62,7 @@ class Rules:
     classes: tuple[CharClass, ...] = CLASSES
     allowed: tuple[str, ...] = ALLOWED
     order: tuple[str, ...] = field(default=KINDS)
+    placeholders: tuple[str, ...] = PLACEHOLDERS
 
 
 _SPAN = "struct<start:int,rank:int,stop:int,what:string>"
@@ -103,6 +107,15 @@ def _windows(c: CharClass, rank: int, spans: str) -> str:
     return f"transform(filter({hits}, h -> h.w.last >= 0), h -> named_struct('start', h.s.start + h.w.first, 'rank', {rank}, 'stop', h.s.start + h.w.last, 'what', h.s.what))"
 
 
+def _blanked(text: str, spans: str) -> Column:
+    """``text`` with a blank for every character of the sorted ``spans``, so that offsets stay."""
+    pieces = f"""aggregate({spans}, named_struct('pos', 0, 'out', cast(array() as array<string>)), (a, s) -> named_struct(
+        'pos', greatest(a.pos, s.stop),
+        'out', if(s.stop > a.pos, concat(a.out, array(substring({text}, a.pos + 1, greatest(s.start - a.pos, 0)), repeat(' ', s.stop - greatest(a.pos, s.start)))), a.out)),
+        a -> concat(a.out, array(substring({text}, a.pos + 1))))"""
+    return F.expr(f"CASE WHEN size({spans}) > 0 THEN array_join({pieces}, '') ELSE {text} END")
+
+
 def scan(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with ``_base`` and ``_added``: arrays of (start, rank, stop, what) sorted by start, then kind.
 
@@ -115,20 +128,20 @@ def scan(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFra
     long_enough = {"_assign": "length(s.what) >= 8", "_access": "s.stop - s.start >= 16", "_hex": "true"}
     base = ", ".join(f"filter({c}, s -> {cond})" for c, cond in long_enough.items())
     out = out.withColumn("_base", F.expr(f"array_sort(concat({base}))"))
-    allowed = " AND ".join(f"NOT s.what RLIKE {_literal(f'^(?:{a})$')}" for a in rules.allowed)
+    allowed = " AND ".join(f"NOT s.what RLIKE {_literal(f'^(?:{a})$')}" for a in rules.allowed) or "true"
+    held = _matches("_text", "|".join(rules.placeholders), 0) if rules.placeholders else F.expr(_NONE)
+    out = out.withColumn("_held", held).withColumn("_taken", F.expr("array_sort(concat(_base, _held))")).withColumn("_rest", _blanked("_text", "_taken"))
     names = []
     for c in rules.classes:
         name = f"_{c.kind}"
-        out = out.withColumn(name, _matches("_text", c.pattern, rank[c.kind]))
-        free = "NOT exists(_base, b -> b.start < s.stop AND s.start < b.stop)"
-        out = out.withColumn(name, F.expr(f"filter({name}, s -> {allowed} AND {free})"))
         if names:  # a stretch that an earlier class reports isn't reported again
-            seen = f"concat({', '.join(names)})"
-            out = out.withColumn(name, F.expr(f"filter({name}, s -> NOT exists({seen}, b -> b.start < s.stop AND s.start < b.stop))"))
+            out = out.withColumn("_rest", _blanked("_rest", names[-1]))
+        out = out.withColumn(name, _matches("_rest", c.pattern, rank[c.kind]))
+        out = out.withColumn(name, F.expr(f"filter({name}, s -> {allowed})"))
         out = out.withColumn(name, F.expr(f"CASE WHEN size({name}) > 0 THEN {_windows(c, rank[c.kind], name)} ELSE {_NONE} END"))
         names.append(name)
     out = out.withColumn("_added", F.expr(f"array_sort(concat({', '.join(names)}))"))
-    return out.drop("_assign", "_access", "_hex", *names)
+    return out.drop("_assign", "_access", "_hex", "_held", "_taken", "_rest", *names)
 
 
 def _listed(spans: str, rules: Rules) -> str:
