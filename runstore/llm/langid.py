@@ -132,16 +132,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_language`` (lang_pred, score)."""
+    """``docs`` with a struct column ``_language`` (lang_pred, score, letter: whether the text has one)."""
     sent = shared.shipped(docs.sparkSession, model)
     shared.small_batches(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, letter boolean")
     def run(texts):
         import pandas as pd
 
         lang, score = sent().predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return pd.DataFrame({"lang_pred": lang, "score": score, "letter": [has_letter(t) for t in texts]})
 
     return docs.withColumn("_language", run(F.col(text)))
 
@@ -158,8 +158,11 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 
 
 def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None, **options) -> DataFrame:
-    """The rows whose text has a known language (one of ``languages``, if given), with their columns as they are."""
-    rows = predicted(docs, fit(docs, **options)).where(F.col("_language.lang_pred") != UNKNOWN)
+    """The rows whose text has a letter and, if ``languages`` are given, is predicted one of them; columns stay as they are.
+
+    Low scores reject nothing. Where no row can be learnt from, no language is predicted and the letter alone decides.
+    """
+    rows = predicted(docs, fit(docs, **options)).where("_language.letter")
     if languages is not None:
         rows = rows.where(F.col("_language.lang_pred").isin(*languages))
     return rows.drop("_language")

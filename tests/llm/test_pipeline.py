@@ -28,5 +28,14 @@ def test_stages(spark):
     check_pieces(spark, clean)
 
 
+def test_language_without_a_model_keeps_texts_with_letters(spark):
+    docs = documents(spark)
+    want = sorted(r.text for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    # No labels, labels on held-out rows alone, and a label by the name of unknown texts.
+    for label in ("cast(null AS string)", "CASE WHEN pmod(crc32(cast(cast(coalesce(doc_id, 0) AS string) AS binary)), 5) = 0 AND doc_id IS NOT NULL THEN 'en' END", "'und'"):
+        step = dict(corpus_pipeline.STAGES)["language"](spark, docs.selectExpr(*(f"{label} AS lang" if c == "lang" else c for c in docs.columns)), SF)
+        assert step.columns == docs.columns and sorted(r.text for r in step.collect()) == want
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
