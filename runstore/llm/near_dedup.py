@@ -333,9 +333,19 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that stay, one of each component, with their columns as they are."""
-    lost = report(docs, doc_id, text, **options).where("NOT kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[doc_id] == lost["_lost"], "left_anti")
+    """The documents that stay, one of each component, with their columns as they are.
+
+    A row without doc_id is a document of its own, which comes after all that have one.
+    """
+    columns, unnamed = docs.columns, docs.where(F.col(doc_id).isNull())
+    keyed = docs.withColumn("_key", F.col(doc_id).cast("long"))
+    if not unnamed.isEmpty():
+        first = (docs.agg(F.max(doc_id)).first()[0] or 0) + 1
+        # Written, so that every reading has the same keys; beyond 64 bits the sum fails.
+        unnamed = shared.written(unnamed.withColumn("_key", F.expr(f"{first}L + monotonically_increasing_id()")), "unnamed")
+        keyed = keyed.where(F.col(doc_id).isNotNull()).unionByName(unnamed)
+    lost = report(keyed, "_key", text, **options).where("NOT kept").select(F.col("doc_id").alias("_lost")).distinct()
+    return keyed.join(lost, F.col("_key") == F.col("_lost"), "left_anti").select(*columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

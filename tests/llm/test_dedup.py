@@ -118,6 +118,14 @@ def test_near_dedup_keeps_columns(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+def test_near_dedup_of_rows_without_doc_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    texts = [(5, one), (None, one + " x"), (None, one), (None, two), (None, two + " x"), (None, two + " x y"), (None, "alone"), (None, ""), (None, None)]
+    out = near_dedup.dedup(documents(spark, texts)).collect()
+    assert [r.doc_id for r in out if (r.text or "").startswith("a0")] == [5]
+    assert sum((r.text or "").startswith("b0") for r in out) == 1 and sorted(r.text or "" for r in out if len(r.text or "") < 9) == ["", "", "alone"]
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
