@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """Fail rather than replace a column of the caller's."""
+    for name in {c.lower() for c in df.columns} & set(names):
+        raise ValueError(f"the table has a column {name!r} already")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound Arrow batches by rows and bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,12 @@ from . import shared
 
 ENCODE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces up to so many bytes go through the matrices; the few longer ones through a heap, as a merge a round is
-#: quadratic in a piece's length.
-LONGEST = 256
-#: Upper ends of the length buckets.
-BUCKETS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONGEST)
+#: Upper ends of the length buckets.  A longer piece is a matrix of one row, which merges all its pairs of minimum rank in
+#: a round, as one merger a round is quadratic in a piece's length.
+BUCKETS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256)
+#: The library's splitter ends the process on a run of some 500,000 white-space characters; texts with a run of this
+#: length are split by another one.
+LONGEST_BLANK = 50_000
 #: Encoded pieces that a worker remembers before it forgets all.
 REMEMBERED = 200_000
 
@@ -55,16 +55,36 @@ def library_encoder(path: str):
     return cache["tiktoken", path]
 
 
+def library_encode(path: str):
+    """A function from a text of any kind to its token ids, as tiktoken's ``encode_ordinary`` gives them."""
+    import regex
+
+    import public_tokenizers
+
+    encoder = library_encoder(path)
+    blank, split = regex.compile(r"\s+"), regex.compile(public_tokenizers.PATTERN)
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONGEST_BLANK or max((m.end() - m.start() for m in blank.finditer(text)), default=0) < LONGEST_BLANK:
+            return encoder.encode_ordinary(text)
+        return [i for piece in split.findall(text) for i in encoder._encode_single_piece(piece.encode())]
+
+    return encode
+
+
 # --- lengths -----------------------------------------------------------------------------------------------------
 
 
 def lengths(docs: DataFrame, text: str = "text", ranks: str = COUNT_RANKS) -> DataFrame:
-    """``n_tokens`` of every row's whole text (null: 0 tokens, as empty)."""
+    """``n_tokens`` of every row's whole text (null: 0 tokens, as empty).
+
+    A row per row, repeated ones too; an empty table gives none; other columns aren't read.
+    """
     path = vocabulary(ranks)
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(path).encode_ordinary
+        encode = library_encode(path)
         for b in batches:
             yield pa.RecordBatch.from_pydict({"n_tokens": pa.array([len(encode(t)) if t else 0 for t in b.column(0).to_pylist()], pa.int64())})
 
@@ -227,35 +247,42 @@ class MatrixBPE:
             left = np.maximum(at - 1, 0)
             rank[n, left] = self.pairs(x[n, left], x[n, left + 1])
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        """The same merges, leftmost minimum rank first, by a heap over a linked list."""
-        ids = [int(self.byte_ids[b]) for b in piece]
-        n, data = len(ids), piece
-        stop = list(range(1, n + 1))  # where each live token ends
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (r := self.ranks.get(data[i : stop[j]])) is not None:
-                heapq.heappush(heap, (r, i, stop[j]))
-
-        for i in range(n):
-            push(i)
-        live = [True] * n
-        while heap:
-            r, i, end = heapq.heappop(heap)
-            j = after[i] if live[i] else n
-            if not live[i] or j >= n or stop[j] != end:
-                continue
-            ids[i], stop[i], live[j] = r, end, False
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([ids[i] for i in range(n) if live[i]], np.int32)
+    def _wide(self, piece: bytes) -> np.ndarray:
+        """A row of any length by itself: a round merges all its pairs of minimum rank, from left to right.
+
+        That is what as many rounds of the leftmost one would do, unless a merger makes a pair of no greater rank; then
+        the round merges the leftmost alone.  Merged places stay as holes, which links skip, until half of the row is holes.
+        """
+        x = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rank = np.append(self.pairs(x[:-1], x[1:]), PairTable.NONE)
+        n = left = len(x)
+        live, after, before = np.ones(n, bool), np.arange(1, n + 1), np.arange(-1, n - 1)
+        while (r := rank.min()) != PairTable.NONE:
+            hit = np.flatnonzero(rank == r)
+            if len(hit) > 1:  # of pairs that overlap, the first, the third and so on
+                k = np.arange(len(hit))
+                run = np.maximum.accumulate(np.where(np.append(True, after[hit[:-1]] != hit[1:]), k, 0))
+                hit = hit[(k - run) % 2 == 0]
+            while True:
+                gone = after[hit]
+                end = after[gone]
+                inner = end < n
+                was = x[hit], before[end[inner]]
+                x[hit], after[hit], before[end[inner]] = r, end, hit[inner]
+                start = before[hit]
+                right = self.pairs(x[hit], np.where(inner, x[np.minimum(end, n - 1)], -1))
+                lower = self.pairs(np.where(start >= 0, x[start], -1), x[hit])
+                if len(hit) == 1 or min(right.min(), lower.min()) > r:
+                    break
+                x[hit], after[hit], before[end[inner]] = was[0], gone, was[1]
+                hit = hit[:1]
+            rank[gone], live[gone], rank[hit] = PairTable.NONE, False, right
+            rank[start[start >= 0]] = lower[start >= 0]
+            left -= len(hit)
+            if 2 * left < n:
+                x, rank, n = x[live], rank[live], left
+                live, after, before = np.ones(n, bool), np.arange(1, n + 1), np.arange(-1, n - 1)
+        return x[live]
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces one after another in some order, and where each piece's begin and how many they are.
@@ -274,7 +301,7 @@ class MatrixBPE:
                 part = rows[s : s + step]
                 self._bucket([pieces[i] for i in part], part, width, done)
         for i in todo[which == len(BUCKETS)]:
-            ids = self._long(pieces[i])
+            ids = self._wide(pieces[i])
             done.append((np.array([i]), np.array([len(ids)]), ids))
         number, size, flat = (np.concatenate(x) for x in zip(*done))
         starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
@@ -327,7 +354,11 @@ def matrix_encoder(path: str) -> MatrixBPE:
 
 
 def encoded(docs: DataFrame, text: str = "text", ranks: str = ENCODE_RANKS) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>), the token ids of the whole text; a null or empty text has none."""
+    """``docs`` with ``ids`` (array<int>), the token ids of the whole text; a null or empty text has none.
+
+    Every row stays, repeated ones too; a table that has a column of that name is refused; an empty one gives no rows.
+    """
+    shared.refuse(docs, "ids")
     path = vocabulary(ranks)
     shared.small_batches(docs.sparkSession)
 
@@ -341,7 +372,11 @@ def encoded(docs: DataFrame, text: str = "text", ranks: str = ENCODE_RANKS) -> D
 
 
 def decoded(docs: DataFrame, ids: str = "ids", ranks: str = ENCODE_RANKS) -> DataFrame:
-    """``docs`` with ``decoded`` (binary), the bytes of its token ids; null ids give empty bytes."""
+    """``docs`` with ``decoded`` (binary), the bytes of its token ids; null ids give empty bytes.
+
+    Every row stays; a table that has a column of that name is refused.
+    """
+    shared.refuse(docs, "decoded")
     path = vocabulary(ranks)
     shared.small_batches(docs.sparkSession)
 
@@ -356,7 +391,11 @@ def decoded(docs: DataFrame, ids: str = "ids", ranks: str = ENCODE_RANKS) -> Dat
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = ENCODE_RANKS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 per row: encoded and decoded in one pass, ids never leave it."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 per row: encoded and decoded in one pass, ids never leave it.
+
+    Null texts count as empty and have no ids; repeated rows and null doc_ids stay; an empty table gives no rows; other
+    columns aren't read.
+    """
     path = vocabulary(ranks)
     shared.small_batches(docs.sparkSession)
 

@@ -62,7 +62,27 @@ def test_matrices_merge_as_the_library(text):
     assert bpe.encode_batch([text])[0].tolist() == ids and bpe.decode(np.array(ids, np.int64)) == text.encode()
     piece = text.replace(" ", "").encode()
     if piece:
-        assert bpe._long(piece).tolist() == tokens.library_encoder(path)._encode_single_piece(piece)
+        assert bpe._wide(piece).tolist() == tokens.library_encoder(path)._encode_single_piece(piece)
+
+
+def test_long_unbroken_texts():
+    """Texts on which the library's own splitter gives up, and long pieces, against the split and its single pieces."""
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    draw = np.random.default_rng(4)
+    letters = "".join(map(chr, draw.integers(97, 123, 60_000)))
+    texts = ["a" + " " * 1_000_000, "\n" * 1_000_000 + "b", "z" * 1_000_000, letters, "x " + "\t" * 60_000 + letters, "日本" * 30_000]
+    for name in (tokens.ENCODE_RANKS, tokens.COUNT_RANKS):
+        path = tokens.vocabulary(name)
+        encode, single = tokens.library_encode(path), tokens.library_encoder(path)._encode_single_piece
+        for t, ids in zip(texts, tokens.matrix_encoder(path).encode_batch(texts)):
+            want = [i for p in regex.findall(public_tokenizers.PATTERN, t) for i in single(p.encode())]
+            assert ids.tolist() == want and encode(t) == want
+    slow = Tokenizer.from_file(tokens.vocabulary(packing.VOCABULARY))
+    pack = packing.Encoder(tokens.vocabulary(packing.VOCABULARY), tokens.vocabulary(packing.RANKS))
+    assert all(pack(t).tolist() == [*slow.encode(t, add_special_tokens=False).ids, 0] for t in texts)
 
 
 # --- secrets
