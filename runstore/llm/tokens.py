@@ -56,7 +56,7 @@ def library_encoder(path: str):
 
 
 def library_encode(path: str):
-    """A function from a text of any kind to its token ids, as tiktoken's ``encode_ordinary`` gives them."""
+    """A function from a text of any kind to an array of its token ids, as tiktoken's ``encode_ordinary`` gives them."""
     import regex
 
     import public_tokenizers
@@ -64,10 +64,10 @@ def library_encode(path: str):
     encoder = library_encoder(path)
     blank, split = regex.compile(r"\s+"), regex.compile(public_tokenizers.PATTERN)
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         if len(text) < LONGEST_BLANK or max((m.end() - m.start() for m in blank.finditer(text)), default=0) < LONGEST_BLANK:
-            return encoder.encode_ordinary(text)
-        return [i for piece in split.findall(text) for i in encoder._encode_single_piece(piece.encode())]
+            return encoder.encode_to_numpy(text, disallowed_special=())
+        return np.array([i for piece in split.findall(text) for i in encoder._encode_single_piece(piece.encode())], np.uint32)
 
     return encode
 

@@ -79,7 +79,7 @@ def test_long_unbroken_texts():
         encode, single = tokens.library_encode(path), tokens.library_encoder(path)._encode_single_piece
         for t, ids in zip(texts, tokens.matrix_encoder(path).encode_batch(texts)):
             want = [i for p in regex.findall(public_tokenizers.PATTERN, t) for i in single(p.encode())]
-            assert ids.tolist() == want and encode(t) == want
+            assert ids.tolist() == want and encode(t).tolist() == want
     slow = Tokenizer.from_file(tokens.vocabulary(packing.VOCABULARY))
     pack = packing.Encoder(tokens.vocabulary(packing.VOCABULARY), tokens.vocabulary(packing.RANKS))
     assert all(pack(t).tolist() == [*slow.encode(t, add_special_tokens=False).ids, 0] for t in texts)
@@ -283,12 +283,17 @@ def check_pieces(spark, docs):
     rows = packing.packed(docs).collect()
     by_doc = {}
     for (i, ids), n in want.items():
-        by_doc.setdefault(i, []).extend([ids] * n)
-    total = Counter()
+        by_doc.setdefault(i, []).append((ids, n))
+    covered = {}
     for r in rows:
-        assert any(len(x) == 4 * r.doc_tokens and zlib.crc32(x[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for x in by_doc[r.doc_id])
-        total[r.doc_id] += r.length
-    assert total == Counter({i: sum(len(x) // 4 for x in xs) for i, xs in by_doc.items()})
+        mine = [x for x, _ in by_doc[r.doc_id] if len(x) == 4 * r.doc_tokens and zlib.crc32(x[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32]
+        assert mine
+        covered.setdefault((r.doc_id, r.doc_tokens), Counter()).update({r.start: 1, r.start + r.length: -1})
+    # Every token of every document lies in as many pieces as there are such rows: pieces overlap nowhere and leave no hole.
+    expected = {}
+    for (i, ids), n in want.items():
+        expected.setdefault((i, len(ids) // 4), Counter()).update({0: n, len(ids) // 4: -n})
+    assert {k: {at: n for at, n in c.items() if n} for k, c in covered.items()} == {k: {at: n for at, n in c.items() if n} for k, c in expected.items()}
     at = Counter()
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at[r.sequence_id] and r.length > 0
@@ -296,15 +301,46 @@ def check_pieces(spark, docs):
     assert all(n <= 1024 and n & (n - 1) == 0 for n in at.values())
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
     for docs in (*tables(spark), documents(spark, [(i, "one text of many copies") for i in range(3000)])):
         check_pieces(spark, docs)
-
-
-def test_paths_walk_from_low_degrees_to_the_most_similar():
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.integers(0, 20, (40, packing.SKETCH)) + c for c in np.eye(4, packing.SKETCH)[:, None] * 0 + rng.integers(0, 200, (4, 1, packing.SKETCH))]).astype(np.uint8)
-    order = packing.paths(x)
-    assert sorted(order.tolist()) == list(range(160))
-    assert sum(a // 40 != b // 40 for a, b in zip(order, order[1:])) <= 12
+    monkeypatch.setattr(packing, "WALK_DOCS", 300)
+    check_pieces(spark, documents(spark, [(i, f"text {i} " * (i % 40)) for i in range(1000)]))
+    got = packing.packed(documents(spark, [(1, "some words"), (2, None)]), with_ids=True).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+def recall(table, axes, near):
+    """Share of the true neighbours, ties included, that the graph has, for every row divisible by 20 against all rows."""
+    rows = table.select("row", "shares").orderBy("row").collect()
+    x, place = axes.points([r.shares for r in rows]).astype(np.float64), {r.row: i for i, r in enumerate(rows)}
+    found = {r.row: np.frombuffer(r.near, "<i8") for r in near.select("row", "near").collect()}
+    assert len(found) == len(rows)
+    shares = []
+    for i in range(0, len(rows), 20):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        own = [place[j] for j in found[rows[i].row]]
+        assert len(own) == len(set(own)) == min(packing.NEIGHBOURS, len(rows) - 1) and i not in own
+        shares.append((d[own] <= np.sort(d)[packing.NEIGHBOURS - 1] * (1 + 1e-4) + 1e-2).mean())
+    return np.mean(shares)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbour_recall_over_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    for inputs in (1, 4, 8):
+        table = packing.encoded(docs.orderBy("doc_id").repartition(inputs))
+        axes = packing.fit_axes(table)
+        for rows in (packing.COMPARE_ROWS, 3000) if inputs == 4 else (packing.COMPARE_ROWS,):
+            assert recall(table, axes, packing.graph(table, axes, rows)) >= 0.97, (sf, inputs, rows)
+
+
+def test_paths_walk_from_low_degrees_to_the_nearest():
+    x = np.random.default_rng(1).normal(0, 1, (160, 8)) + np.repeat(np.random.default_rng(2).normal(0, 50, (4, 8)), 40, axis=0)
+    near = packing.nearest(x, x, np.arange(160), 8)[0]
+    order = packing.paths(list(near))
+    assert sorted(order) == list(range(160))
+    assert sum(a // 40 != b // 40 for a, b in zip(order, order[1:])) <= 40
+    assert packing.paths([]) == [] and packing.paths([np.array([2]), np.array([], np.int64), np.array([1])]) == [0, 2, 1]
     assert packing.window_ends(2048 + 700, 1024) == [1024, 2048, 2560, 2688, 2720, 2736, 2744, 2748] and packing.window_ends(0, 1024) == []
