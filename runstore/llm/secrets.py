@@ -111,20 +111,20 @@ def _matches(text: str, pattern: str, rank: int, group: int = 0) -> Column:
 def _windows(c: CharClass, rank: int, spans: str) -> str:
     """SQL: the spans of high entropy within candidates ``spans`` of class ``c``.
 
-    The window's counts are a string with a character per ASCII code, of which a step overwrites two.  Terms n log2 n are
+    The window's counts are a byte string with a place per ASCII code, of which a step overwrites two.  Terms n log2 n are
     integers in units of 2^-32, so that sums are exact wherever a window stands.
     """
     terms = ", ".join(f"{round(x * math.log2(x) * UNIT) if x else 0}L" for x in range(c.window + 2))
     limit = math.floor(c.window * (math.log2(c.window) - c.bits) * UNIT) + (UNIT >> 20)
     code = lambda i: f"ascii(cast(substring(d.x, {i} + 1, 1) as string))"
-    count = lambda n, k: f"ascii(substring({n}, {k} + 1, 1)) - {ZERO}"
-    changed = lambda w, k, v, by: f"named_struct('n', overlay({w}.n, char({ZERO} + {v} + {by}), {k} + 1, 1), 'sum', {w}.sum + d.f[{v} + {by}] - d.f[{v}])"
+    count = lambda n, k: f"ascii(cast(substring({n}, {k} + 1, 1) as string)) - {ZERO}"
+    changed = lambda w, k, v, by: f"named_struct('n', overlay({w}.n, cast(char({ZERO} + {v} + {by}) as binary), {k} + 1, 1), 'sum', {w}.sum + d.f[{v} + {by}] - d.f[{v}])"
     left = f"if(e.out < 0, named_struct('n', w.n, 'sum', w.sum), {_let('v', count('w.n', 'e.out'), changed('w', 'e.out', 'v', -1))})"
     moved = f"if(e.out = e.in, named_struct('n', w.n, 'sum', w.sum), {_let('o', left, _let('u', count('o.n', 'e.in'), changed('o', 'e.in', 'u', 1)))})"
     high = f"i >= {c.window - 1} AND r.sum <= {limit}L"
     after = f"named_struct('n', r.n, 'sum', r.sum, 'first', if(w.first < 0 AND {high}, cast(i as int) - {c.window - 1}, w.first), 'last', if({high}, cast(i as int) + 1, w.last))"
     step = _let("e", f"named_struct('out', if(i >= {c.window}, {code(f'i - {c.window}')}, -1), 'in', {code('i')})", _let("r", moved, after))
-    zero = f"named_struct('n', repeat(char({ZERO}), 128), 'sum', 0L, 'first', -1, 'last', -1)"
+    zero = f"named_struct('n', cast(repeat(char({ZERO}), 128) as binary), 'sum', 0L, 'first', -1, 'last', -1)"
     inner = f"aggregate(sequence(c * {STRETCH}, least((c + 1) * {STRETCH}, length(d.x)) - 1), acc, (w, i) -> {step})"
     scan = _let("d", f"named_struct('x', cast(s.what as binary), 'f', array({terms}))", f"aggregate(sequence(0, (length(d.x) - 1) div {STRETCH}), {zero}, (acc, c) -> {inner})")
     hits = f"transform({spans}, s -> named_struct('s', s, 'w', {scan}))"
