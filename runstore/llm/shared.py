@@ -66,14 +66,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    worker_cache().setdefault("written", {})[id(out)] = out, path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing will read any more."""
-    spark = df.sparkSession
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        _delete(spark, path)
+    _delete(df.sparkSession, worker_cache()["written"].pop(id(df))[1])
 
 
 def worker_cache() -> dict:

@@ -185,3 +185,70 @@ def test_a_crowded_region_in_several_components_is_searched_whole(spark, monkeyp
         rows += [(f * 10 + k, " ".join(shared_words + own[:k] + [f"x{f}y{k}"] + own[k + 1 :])) for k in range(7)]
     got = near_dedup.report(documents(spark, rows), size=2).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(rows, 2, 80)
+
+
+def exact_components(rows, size, percent):
+    """Components by an exact similarity join: sets of a pair at the threshold share one of their rarest shingles."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        n = min(size, len(w))
+        sets.setdefault(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else None, []).append(d)
+    sets.pop(None, None)
+    count = defaultdict(int)
+    for s in sets:
+        for g in s:
+            count[g] += 1
+    low = {s: min(ids) for s, ids in sets.items()}
+    parent = {d: d for d in low.values()}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    index, links = defaultdict(list), 0
+    for s in sorted(sets, key=len):
+        met = set()
+        for g in sorted(s, key=lambda g: (count[g], g))[: len(s) - -(-percent * len(s) // 100) + 1]:
+            met.update(o for o in index[g] if 100 * len(o) >= percent * len(s))
+            index[g].append(s)
+        for o in met:
+            both = len(s & o)
+            if 100 * both >= percent * (len(s) + len(o) - both):
+                links += 1
+                a, b = find(low[s]), find(low[o])
+                parent[max(a, b)] = min(a, b)
+    return {d: find(low[s]) for s, ids in sets.items() for d in ids}, links
+
+
+def test_components_of_a_whole_table_equal_an_exact_join(spark, monkeypatch):
+    """Every link at sf0.1, in ranges so small that regions go on from one to the next."""
+    size = 2
+    monkeypatch.setattr(near_dedup, "RANGE_ROWS", 9000)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want, links = exact_components([tuple(r) for r in docs.collect()], size, 80)
+    got = {r.doc_id: r.component_id for r in near_dedup.report(docs, size=size, percent=80).collect()}
+    assert links > 400 and {d: got[d] for d in want} == want and all(got[d] == d for d in got if d not in want)
+
+
+def test_depth_adapts_in_a_crowd_of_default_size(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "RANGE_ROWS", 20_000)
+    base = [f"w{i}" for i in range(200)]
+    n = near_dedup.CROWD + 400
+    docs = documents(spark, [(i, " ".join(base[: i % 200] + [f"x{i}"] + base[i % 200 + 1 :])) for i in range(n)] + [(n, " ".join(base[:120]))])
+    classes = near_dedup._described(docs.select("doc_id", "text"), 2).selectExpr("doc_id AS node", "signature", "sketch")
+    kinds = {r.kind: r.n for r in near_dedup.forest(classes, 80).groupBy("kind").count().withColumnRenamed("count", "n").collect()}
+    assert kinds[near_dedup.CROWDED] > near_dedup.CROWD and kinds[near_dedup.OPEN]
+    got = {r.doc_id: r.component_id for r in near_dedup.report(docs, size=2).collect()}
+    assert all(got[i] == 0 for i in range(n)) and got[n] == n
+
+
+def test_near_dedup_keeps_one_of_rows_that_share_a_doc_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(5, one), (5, one), (5, one + " x"), (9, one + " y"), (7, two), (7, "alone"), (None, two), (8, "free")]
+    out = near_dedup.dedup(documents(spark, rows).withColumnRenamed("key", "_key").withColumnRenamed("h", "a.b"))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert [g for g in got if g[1].startswith("a0")] == [(9, one + " y")] and sum(g[1].startswith("b0") for g in got) == 1
+    assert (7, "alone") in got and (8, "free") in got and len(got) == 4 and "a.b" in out.columns
