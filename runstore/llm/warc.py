@@ -80,17 +80,18 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def _field(name: str) -> Column:
-    return F.regexp_extract("header", f"(?m)^{name}: (.*?)\\r\\n", 1)
+def _field(name: str, header: str = "header") -> Column:
+    """A field's value; lines end at CR LF alone, which no value holds, so that none can pass for a line of its own."""
+    return F.regexp_extract(header, f"\\r\\n{name}: ([^\\r\\n]*)\\r\\n", 1)
+
+
+def _number(uri: Column) -> Column:
+    return F.regexp_extract(uri, "^<urn:page:(-?\\d+)>$", 1).try_cast("long")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """The archive's records with parsed headers: header, digest, page_id, record_type, refers_to, header_digest."""
-    number = lambda uri: F.regexp_extract(uri, "<urn:page:(-?\\d+)>", 1).try_cast("long")
-    return spark.read.parquet(f"{path}/records").select(
-        "digest", "header", number(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"),
-        number(_field("WARC-Refers-To")).alias("refers_to"), F.substring(_field("WARC-Payload-Digest"), 6, 32).alias("header_digest"),
-    )
+    """The archive's records with parsed headers: header, digest, page_id, record_type."""
+    return spark.read.parquet(f"{path}/records").select("digest", "header", _number(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"))
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +104,7 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
 def _joined(spark: SparkSession, path: str, payloads: DataFrame) -> DataFrame:
     left = records(spark, path)
     counts = spark.read.parquet(f"{path}/records").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    # Hot digests are at most HOT_PARTS, so what salting copies of their payloads is bounded.
     return shared.salted_join(left, payloads, "digest", shared.hot_keys(counts, "digest"), F.col("page_id"))
 
 
@@ -115,14 +117,21 @@ def rebuilt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, from the stored bytes and headers.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, from the rebuilt records.
 
-    A stored payload is digested once, whichever number of records share it; a header that names another digest fails.
+    Each record is parsed anew: its header block, and the body of the length that is left.  A record whose
+    body isn't of its Content-Length, or whose payload hasn't the digest that its header names, fails the job.
     """
-    facts = verified(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.upper(F.sha1("payload"))).alias("payload_digest"))
-    found = _joined(spark, path, facts)
-    agrees = F.when(F.col("header_digest") == F.col("payload_digest"), True).otherwise(F.raise_error(F.lit("a header names another digest")).cast("boolean"))
-    return found.where(agrees).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    parsed = rebuilt(spark, path).select("record", "payload", F.concat(F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1), F.lit("\r\n")).alias("head"))
+    parsed = parsed.select("head", "payload", F.expr("substring(record, octet_length(head) + 3, octet_length(record) - octet_length(head) - 6)").alias("body"))
+    parsed = parsed.select("head", "body", _field("WARC-Type", "head").alias("record_type"), F.when(_field("WARC-Type", "head") == "response", F.col("body")).otherwise(F.col("payload")).alias("payload"))
+    out = parsed.select(
+        _number(_field("WARC-Record-ID", "head")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.upper(F.sha1("payload"))).alias("payload_digest"),
+        "record_type", _number(_field("WARC-Refers-To", "head")).alias("refers_to"), F.octet_length("body").cast("string").alias("_length"),
+        _field("Content-Length", "head").alias("_named"), F.substring(_field("WARC-Payload-Digest", "head"), 6, 32).alias("_digest"),
+    )
+    agrees = F.when((F.col("_length") == F.col("_named")) & (F.col("_digest") == F.col("payload_digest")), True)
+    return out.where(agrees.otherwise(F.raise_error(F.concat(F.lit("a record that its header doesn't describe: "), F.col("page_id").cast("string"))).cast("boolean"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def export(spark: SparkSession, path: str, folder: str) -> DataFrame:

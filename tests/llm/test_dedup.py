@@ -166,6 +166,14 @@ def test_archive_round_trip(spark, tmp_path):
     assert sorted(r.record_type for r in warc.read(spark, str(tmp_path / "large")).collect()) == ["response"] * 8
 
 
+def test_urls_forge_no_header(spark, tmp_path):
+    urls = [f"u{end}{field}" for end in ("\u0085", "\u2028", "\u2029", "\r\n", "\n", "\x0b", " ") for field in ("WARC-Refers-To: <urn:page:77>", "WARC-Payload-Digest: sha1:AAAA", "WARC-Type: revisit", "Content-Length: 9")]
+    pages = spark.createDataFrame([(i, u, f"text {i % 20}\r\n\r\nWARC-Type: revisit\r\n") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "archive"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(spark, str(tmp_path / "archive")).collect()}
+    assert got == {i: ("revisit", i + 20) if i + 20 < len(urls) else ("response", None) for i in range(len(urls))}
+
+
 def test_a_corrupt_payload_fails(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string"), path)
