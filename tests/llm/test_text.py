@@ -209,6 +209,33 @@ def test_forest_tells_odd_rows_and_labels_set_the_threshold(spark):
     assert sum(kept[i] for i, _ in good) >= 290 and not any(kept[i] for i, _ in bad)
 
 
+def test_repeated_lines_are_odd_where_labels_say_so(spark):
+    good = [(i, "\n".join(f"word{(i * 7 + k) % 501} plain{(i + k) % 83} more{i} words{k} here" for k in range(30))) for i in range(300)]
+    bad = [(1000 + i, "\n".join([f"word{(i * 7 + k) % 501} plain{(i + k) % 83} more{i} words{k} here" for k in range(20)] + [f"the same line {i} again"] * (4 + i % 7))) for i in range(16)]
+    marks = labels(spark, [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad])
+    rows = {r.doc_id: r for r in quality.report(documents(spark, good + bad), marks).collect()}
+    assert not any(r.base_failed for r in rows.values()) and sum(rows[i].kept for i, _ in good) >= 285 and sum(rows[i].kept for i, _ in bad) <= 2
+
+
+def test_quality_of_held_out_rows(spark):
+    """The half of the labels that doesn't grow the forests: bad rows are odder, and few good ones are rejected."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counts, marks = quality.shared.written(quality.measured(docs), "counts"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model, got = quality.fit(counts, marks), quality.labelled(counts, marks)
+    held = ~quality._grows(got["h"].to_numpy())
+    scores, good = model.score(got[list(quality.COUNTS)].to_numpy())[held], got["_quality"].to_numpy()[held] == 1
+    style = scores[:, 0]
+    assert (style[~good][:, None] > style[good][None, :]).mean() > 0.99
+    rejected = (scores > np.array(model.thresholds)).any(axis=1)
+    assert rejected[good].mean() < 0.03 and rejected[~good].mean() > 0.97
+
+
+def test_accuracy_on_held_out_rows_of_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.report(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.99
+
+
 # --- language
 
 
