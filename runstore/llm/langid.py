@@ -132,7 +132,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_language`` (lang_pred, score, letter: whether the text has one)."""
+    """``docs`` with a struct column ``_language`` (lang_pred, score, letter: whether the text has one).
+
+    Null and empty texts are UNKNOWN; every row stays; a table that has a column of that name is refused.
+    """
+    shared.refuse(docs, "_language")
     sent = shared.shipped(docs.sparkSession, model)
     shared.small_batches(docs.sparkSession)
 
@@ -157,15 +161,21 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     return predicted(rows, model).select("doc_id", shared.held_out().alias("held_out"), "_language.lang_pred", "_language.score")
 
 
-def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None, **options) -> DataFrame:
-    """The rows whose text has a letter and, if ``languages`` are given, is predicted one of them; columns stay as they are.
+def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None, lang: str = "lang", **options) -> DataFrame:
+    """The rows whose text has a letter and, if ``languages`` are given, is predicted one of them.
 
-    Low scores reject nothing. Where no row can be learnt from, no language is predicted and the letter alone decides.
+    Where ``lang`` is null it becomes the prediction; all else stays as it is, repeated rows and columns of any name too.
+    Low scores reject nothing: about half of the texts that no language claims are good ones. Where no row can be learnt
+    from, no language is predicted, null languages stay and the letter alone decides. Null and empty texts go. An empty
+    table gives no rows.
     """
-    rows = predicted(docs, fit(docs, **options)).where("_language.letter")
+    model = fit(docs, lang=lang, **options)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
+    rows = predicted(packed, model, "_text").where("_language.letter")
     if languages is not None:
         rows = rows.where(F.col("_language.lang_pred").isin(*languages))
-    return rows.drop("_language")
+    filled = F.coalesce(F.col(f"_row.`{lang}`"), F.when(F.col("_language.lang_pred") != UNKNOWN, F.col("_language.lang_pred")))
+    return rows.select(*[(filled if c == lang else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,12 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset a temporary one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     cache = worker_cache()
     if "folder" not in cache:
         cache["folder"] = "file://" + tempfile.mkdtemp(prefix="runstore-")
