@@ -147,7 +147,8 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         lang, score = sent().predict(texts.tolist())
         return pd.DataFrame({"lang_pred": lang, "score": score, "letter": [has_letter(t) for t in texts]})
 
-    return docs.withColumn("_language", run(F.col(text)))
+    # Or a filter on the result would be moved below it, with a prediction of its own.
+    return docs.withColumn("_language", run.asNondeterministic()(F.col(text)))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
