@@ -13,6 +13,11 @@ def bounded(log: DataFrame, lower: Column | None = None, upper: Column | None =
     return log if upper is None else log.where(F.col(key) <= upper)
 
 
+def among(log: DataFrame, keys: list[bytes] | None, key: str = "key") -> DataFrame:
+    """Rows of a short list of keys, if there is one."""
+    return log if keys is None else log.where(F.col(key).isin(*map(bytearray, keys)) if keys else F.lit(False))
+
+
 def latest_per_key(log: DataFrame, as_of: int | Column | None = None, key: str = "key", seq: str = "seq", form: str = "window") -> DataFrame:
     """For each key the row of the greatest ``seq`` (not above ``as_of``), tombstones included.
 

@@ -68,6 +68,8 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="runstore-"))
             atexit.register(shutil.rmtree, _local[0], True)
@@ -97,9 +99,11 @@ def _(spark, sf):
     return scan.reverse_seek(live(spark, sf), key="k")
 
 
-@query("e5_batch_upsert", f"WITH {LOG}, batch AS (SELECT * FROM log WHERE run_id = 0) SELECT k, max_by(v, seq) AS v, max(seq) AS seq FROM batch GROUP BY k")
+@query("e5_batch_upsert", f"WITH {LOG}, batch AS (SELECT * FROM log) SELECT run_id, k, max_by(v, seq) AS v, max(seq) AS seq FROM batch GROUP BY run_id, k")
 def _(spark, sf):
-    return merge.latest_per_key(log(spark, sf).where("run_id = 0"), key="k").select("k", "v", "seq")
+    # Every batch by itself: the latest write of each key within it.
+    rows = log(spark, sf).groupBy("run_id", "k").agg(F.max_by(F.struct("v", "seq"), "seq").alias("x"))
+    return rows.select("run_id", "k", "x.v", "x.seq")
 
 
 @query("c2_seek_limit", f"{WITH} SELECT k, v FROM live WHERE k >= 100 ORDER BY k LIMIT 10")
@@ -165,17 +169,19 @@ def _(spark, sf):
     return scan.batched_seek(probes(spark, sf), live(spark, sf), "p", "k").select("p", F.col("k").alias("next_key"))
 
 
-@query("g5_snapshot", f"WITH {LOG}, s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq <= 4000) SELECT k, seq, v FROM s WHERE rn = 1 AND NOT tomb")
+@query("g5_snapshot", f"WITH {LOG}, s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log)) SELECT k, seq, v FROM s WHERE rn = 1 AND NOT tomb")
 def _(spark, sf):
-    return merge.live(merge.latest_per_key(log(spark, sf), as_of=4000, key="k"), "tomb").select("k", "seq", "v")
+    rows = log(spark, sf)
+    half = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    return merge.live(merge.latest_per_key(rows, as_of=half, key="k"), "tomb").select("k", "seq", "v")
 
 
-_STAGED = "staged AS (SELECT CAST(c_custkey AS BIGINT) AS k, c_acctbal AS v, c_acctbal < 0 AS tomb FROM customer WHERE c_custkey <= 100)"
+_STAGED = "staged AS (SELECT CAST(c_custkey AS BIGINT) AS k, c_acctbal AS v, c_acctbal < 0 AS tomb FROM customer)"
 
 
 @query("g8_read_own_writes", f"{WITH}, {_STAGED} SELECT k, v FROM staged WHERE NOT tomb UNION ALL SELECT k, v FROM live WHERE k NOT IN (SELECT k FROM staged)")
 def _(spark, sf):
-    staged = table(spark, sf, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("value"), (F.col("c_acctbal") < 0).alias("is_tombstone"))
+    staged = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("value"), (F.col("c_acctbal") < 0).alias("is_tombstone"))
     return versions.read_own_writes(staged, live(spark, sf).withColumnRenamed("v", "value"), "k").select("k", F.col("value").alias("v"))
 
 
@@ -203,9 +209,12 @@ def _(spark, sf):
     return keys.groupBy("run_id").agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.count(F.lit(1)).alias("entries"), F.max("seq").alias("max_seq"))
 
 
-@query("f3_partial_merge", f"WITH {LOG} SELECT k, max(seq) AS seq, max_by(tomb, seq) AS tomb FROM log WHERE run_id % 10 >= 7 GROUP BY k")
+@query("f3_partial_merge", f"WITH {LOG} SELECT k, max(seq) AS seq, max_by(tomb, seq) AS tomb FROM log WHERE run_id >= (SELECT max(run_id) * 7 // 10 FROM log) GROUP BY k")
 def _(spark, sf):
-    return merge.latest_per_key(log(spark, sf).where("run_id % 10 >= 7"), key="k").select("k", "seq", "tomb")
+    # The newest runs, three tenths of all, as a tiered merge takes them.
+    rows = log(spark, sf)
+    first = (rows.agg(F.max("run_id")).first()[0] or 0) * 7 // 10
+    return merge.latest_per_key(rows.where(F.col("run_id") >= first), key="k").select("k", "seq", "tomb")
 
 
 def _stored(spark: SparkSession, sf: str, options: Options, cls=Store, parts: int = 4):
@@ -251,6 +260,70 @@ def _(spark, sf):
     return _decoded(_stored(spark, sf, Options(), VersionedStore).scan())
 
 
+@query("b7_store_multi_get", f"{WITH}, {PROBES} SELECT p, v, live.k IS NOT NULL AS found FROM probes LEFT JOIN live ON live.k = p")
+def _(spark, sf):
+    store = _stored(spark, sf, Options(max_compaction_tiers=2))
+    store.compact()
+    wanted = probes(spark, sf).select("p", codec.encode(F.col("p"), "long").alias("key"))
+    return store.multi_get(wanted).select("p", codec.decode(F.col("value"), "string").cast("double").alias("v"), "found")
+
+
+@query("c2_store_seek", f"{WITH} SELECT k, v FROM live WHERE k >= 40")
+def _(spark, sf):
+    return _decoded(_stored(spark, sf, Options()).seek(codec.encode_python(40, "long")))
+
+
+@query("c7_store_reverse_seek", f"{WITH} SELECT k, v FROM live WHERE k <= 90")
+def _(spark, sf):
+    return _decoded(_stored(spark, sf, Options()).reverse_seek(codec.encode_python(90, "long")))
+
+
+@query("b1_store_get", f"{WITH}, {PROBES} SELECT p, v FROM (SELECT min(p) AS p FROM probes UNION SELECT max(p) FROM probes) LEFT JOIN live ON live.k = p")
+def _(spark, sf):
+    store = _stored(spark, sf, Options())
+    low, high = probes(spark, sf).agg(F.min("p"), F.max("p")).first()
+    found = [(p, store.get(p, "long", "string")) for p in sorted({low, high})]
+    return spark.createDataFrame([(p, None if v is None else float(v)) for p, v in found], "p long, v double")
+
+
+_STEP = "s AS (SELECT max(event_id) // 4 + 1 AS step FROM events)"
+
+
+@query("g5_store_snapshot", f"WITH {LOG}, {_STEP}, old AS (SELECT * FROM log, s WHERE seq <= 2 * step), l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM old) SELECT k, v FROM l WHERE rn = 1 AND NOT tomb")
+def _(spark, sf):
+    # Each of the four batches is one commit; the snapshot is of the second.
+    store = _stored(spark, sf, Options(), VersionedStore)
+    return _decoded(store.as_of(2))
+
+
+@query("g13_store_gc", f"{WITH} SELECT k, v FROM live")
+def _(spark, sf):
+    store = _stored(spark, sf, Options(), VersionedStore)
+    store.collect_garbage(compact=True)
+    return _decoded(store.scan())
+
+
+@query("g8_store_transaction", f"{WITH} SELECT k, v FROM live WHERE k <> (SELECT min(k) FROM live) UNION ALL SELECT -1 AS k, 2.5 AS v")
+def _(spark, sf):
+    store = _stored(spark, sf, Options(), VersionedStore)
+    first = store.scan(1).select(codec.decode(F.col("key"), "long")).first()
+    change = store.transaction()
+    if first is not None:
+        change.delete(first[0], "long")
+    change.put(-1, "2.5", "long", "string")
+    change.commit()
+    return _decoded(store.scan())
+
+
+@query("a18_mixed_codecs", _LIVE_SQL)
+def _(spark, sf):
+    store = _stored(spark, sf, Options(compaction_strategy="none", compression="zstd"), parts=2)
+    # Opened again with another codec and without filters, the latest half is written once more.
+    store = Store.open(spark, store.path, Options(compaction_strategy="none", compression="none", bloom_fpp=None))
+    store.write_batch(store.log().withColumnRenamed("seq", "order").select("key", "is_tombstone", "value", "order"), "order")
+    return _decoded(Store.open(spark, store.path).scan())
+
+
 @query("c4_disjoint_scan", "SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey >= 100 AND o_orderkey <= 5000")
 def _(spark, sf):
     store = Store.open(spark, folder(spark))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from ..sources.manifest import Run
 
 
@@ -11,6 +13,14 @@ def pruned(runs: list[Run], low: bytes | None = None, high: bytes | None = None,
     return [r for r in runs if r.overlaps(a, b) and (as_of is None or r.min_seq <= as_of)]
 
 
+def holding(runs: list[Run], keys: list[bytes] | None) -> list[Run]:
+    """Files whose range holds one of ``keys`` at least; all if there is no such list."""
+    if keys is None:
+        return runs
+    wanted = sorted(k.hex().upper() for k in keys)
+    return [r for r in runs if (i := bisect.bisect_left(wanted, r.first_key)) < len(wanted) and wanted[i] <= r.last_key]
+
+
 def components(runs: list[Run]) -> list[list[Run]]:
     """Files grouped so that key ranges of different groups don't meet; a group of one needs no merge."""
     out: list[list[Run]] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -25,19 +27,24 @@ class Files:
         finally:
             stream.close()
 
+    def ages(self, path: str) -> dict[str, float]:
+        """Seconds since each file or folder in a folder was changed."""
+        at = self._path(path)
+        now = time.time()
+        return {x.getPath().getName(): now - x.getModificationTime() / 1000 for x in self._fs.listStatus(at)} if self._fs.exists(at) else {}
+
     def put_if_absent(self, path: str, text: str) -> bool:
-        """Write a file that must not be there yet; its content appears at once, by a rename."""
+        """Write a small file that must not be there yet; one writer alone can create it."""
         at = self._path(path)
+        if self._fs.exists(at):
+            return False
         try:
-            self._fs.create(self._path(path + ".claim"), False).close()  # one writer alone can create it
+            out = self._fs.create(at, False)
         except Exception:
             return False
-        if self._fs.exists(at):
-            return False
-        out = self._fs.create(self._path(path + ".tmp"), True)
         out.write(bytearray(text.encode()))
         out.close()
-        return self._fs.rename(self._path(path + ".tmp"), at)
+        return True
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -19,6 +20,12 @@ from .files import Files
 from .manifest import Manifest, Run
 
 
+#: Seconds for which files that no manifest names are kept.
+RETENTION = 7 * 86_400.0
+#: Probe keys up to which a lookup reads only the files and pages that may hold them.
+FEW_PROBES = 1_000
+
+
 class StoreError(RuntimeError):
     pass
 
@@ -51,9 +58,10 @@ def ops_frame(spark: SparkSession, ops: dict[bytes, bytes | None]) -> DataFrame:
 
 
 class Store:
-    """One writer at a time: a second one loses the race for the next manifest and gets an error.
+    """One writer at a time: a second one, however many commits it is behind, gets an error and has to open the store again.
 
-    Readers are lazy and files are immutable; replaced files go when :meth:`vacuum` or :meth:`open` finds them unnamed.
+    Readers are lazy and files are immutable. Manifests are never written twice, and opening or committing deletes nothing,
+    so writes in flight and open readers lose no file; what isn't named any more goes when :meth:`vacuum` is called for.
     """
 
     MODE = "plain"
@@ -66,20 +74,12 @@ class Store:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None, allow_missing: bool = False):
-        """Open or create. Files that no manifest names are deleted; a named one that is gone fails unless allowed."""
+        """Open or create. A run that the manifest names and that is gone fails unless allowed; nothing is deleted."""
         files = Files(spark, path)
         files.make(f"{path}/runs")
-        names = [n for n, _ in files.list(path)]
-        versions = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
-        if versions:
-            state = Manifest.from_json(files.read(f"{path}/{manifest.name(versions[-1])}"))
-        else:
-            state = Manifest(mode=cls.MODE)
+        state = cls._latest(files, path) or Manifest(mode=cls.MODE)
         if state.mode != cls.MODE:
             raise StoreError(f"a {state.mode} store can't be opened as {cls.MODE}")
-        for n in names:  # a writer that ended between claim and commit
-            if n.endswith((".claim", ".tmp")) and n.split(".json")[0] + ".json" not in names:
-                files.delete(f"{path}/{n}")
         store = cls(spark, path, options or Options(), state)
         there = {n for n, _ in files.list(f"{path}/runs")}
         lost = [r for r in state.runs() if r.file.split("/")[0] not in there]
@@ -89,23 +89,47 @@ class Store:
             gone = set(lost)
             keep = lambda groups: tuple(g for g in (tuple(r for r in g if r not in gone) for g in groups) if g)
             store._commit(state.next(l0=keep(state.l0), levels=tuple(tuple(r for r in g if r not in gone) for g in state.levels)))
-        store.vacuum()
         return store
 
+    @staticmethod
+    def _versions(files: Files, path: str) -> list[int]:
+        return sorted(int(n[9:-5]) for n, _ in files.list(path) if n.startswith("manifest-") and n.endswith(".json"))
+
+    @classmethod
+    def _latest(cls, files: Files, path: str) -> Manifest | None:
+        """The newest manifest that is whole: a commit whose writer is still writing, or ended, isn't one yet."""
+        for version in reversed(cls._versions(files, path)):
+            try:
+                return Manifest.from_json(files.read(f"{path}/{manifest.name(version)}"))
+            except json.JSONDecodeError:
+                continue
+        return None
+
     def _commit(self, state: Manifest) -> None:
-        if not self._files.put_if_absent(f"{self.path}/{manifest.name(state.version)}", state.to_json()):
+        newer = [v for v in self._versions(self._files, self.path) if v >= state.version]
+        if newer or not self._files.put_if_absent(f"{self.path}/{manifest.name(state.version)}", state.to_json()):
             raise StoreError("another writer has committed; open the store again")
-        old = f"{self.path}/{manifest.name(self.state.version)}"
         self.state = state
-        for suffix in ("", ".claim"):
-            self._files.delete(old + suffix)
 
-    def vacuum(self) -> None:
-        """Delete folders of files that the manifest doesn't name: those of failed writes and of merged runs."""
-        named = {r.file.split("/")[0] for r in self.state.runs()}
-        for n, _ in self._files.list(f"{self.path}/runs"):
-            if n not in named:
-                self._files.delete(f"{self.path}/runs/{n}")
+    def vacuum(self, older_than: float = RETENTION) -> None:
+        """Delete what has been out of use for ``older_than`` seconds: manifests but the newest, also unfinished ones of
+        writers that ended, and run folders that no manifest names. Writes and readers must be younger than that."""
+        ages = self._files.ages(self.path)
+        whole = self._latest(self._files, self.path)
+        kept = []
+        for version in self._versions(self._files, self.path):
+            name = manifest.name(version)
+            if (whole is None or version != whole.version) and ages.get(name, 0.0) >= older_than:
+                self._files.delete(f"{self.path}/{name}")
+                continue
+            try:
+                kept.append(Manifest.from_json(self._files.read(f"{self.path}/{name}")))
+            except json.JSONDecodeError:
+                continue
+        named = {r.file.split("/")[0] for m in kept for r in m.runs()}
+        for name, age in self._files.ages(f"{self.path}/runs").items():
+            if name not in named and age >= older_than:
+                self._files.delete(f"{self.path}/runs/{name}")
 
     def close(self) -> None:
         """Every commit is durable, so nothing is left to flush."""
@@ -190,17 +214,18 @@ class Store:
         out = self._frame(pruning.pruned(self.state.runs(), lower, upper, as_of))
         return merge.bounded(out, None if lower is None else F.lit(lower), None if upper is None else F.lit(upper))
 
-    def live(self, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
-        """The latest entries (key, seq, value), deleted keys left out.
+    def live(self, lower: bytes | None = None, upper: bytes | None = None, keys: list[bytes] | None = None) -> DataFrame:
+        """The latest entries (key, seq, value), deleted keys left out; of ``keys`` alone, if given.
 
-        Files whose ranges meet no other's are read as they are; only the others are merged.
+        Files whose ranges meet no other's are read as they are; only the others are merged. Keys are compared for equality,
+        which Parquet's Bloom filters serve.
         """
         low, high = (None if x is None else F.lit(x) for x in (lower, upper))
-        groups = pruning.components(pruning.pruned(self.state.runs(), lower, upper))
+        groups = pruning.components(pruning.holding(pruning.pruned(self.state.runs(), lower, upper), keys))
         alone, mixed = [g[0] for g in groups if len(g) == 1], [r for g in groups if len(g) > 1 for r in g]
-        parts = [merge.bounded(self._frame(alone), low, high)] if alone or not mixed else []
+        parts = [merge.among(merge.bounded(self._frame(alone), low, high), keys)] if alone or not mixed else []
         if mixed:
-            parts.append(merge.latest_per_key(merge.bounded(self._frame(mixed), low, high)))
+            parts.append(merge.latest_per_key(merge.among(merge.bounded(self._frame(mixed), low, high), keys)))
         return merge.live(reduce(DataFrame.unionByName, parts)).select("key", "seq", "value")
 
     def view(self, name: str) -> None:
@@ -210,14 +235,14 @@ class Store:
     def get(self, key, key_type: str = "bytes", value_type: str = "bytes", use_default: bool = False):
         """The decoded value, or None (0 of a number type with ``use_default``)."""
         wanted = codec.encode_python(key, key_type)
-        row = self.live(wanted, wanted).select(codec.decode(F.col("value"), value_type)).first()
+        row = self.live(keys=[wanted]).select(codec.decode(F.col("value"), value_type)).first()
         if row is None:
             return codec.CODECS[value_type].default if use_default else None
         return bytes(row[0]) if value_type == "bytes" else row[0]
 
     def length(self, key: bytes) -> int:
         """The value's length, or -1."""
-        row = self.live(key, key).select(F.octet_length("value")).first()
+        row = self.live(keys=[key]).select(F.octet_length("value")).first()
         return -1 if row is None else row[0]
 
     def read_into(self, key: bytes, capacity: int) -> tuple[int, bytes | None]:
@@ -232,7 +257,10 @@ class Store:
         return value is not None
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
-        return scan.multi_get(probes, self.live())
+        """Every probe with its value, ``found`` and ``length``; at most FEW_PROBES different keys are looked up by themselves,
+        more are joined with the whole store."""
+        few = [bytes(r[0]) for r in probes.where("key IS NOT NULL").select("key").distinct().limit(FEW_PROBES + 1).collect()]
+        return scan.multi_get(probes, self.live(keys=few) if len(few) <= FEW_PROBES else self.live())
 
     def scan(self, max_entries: int | None = None) -> DataFrame:
         return scan.scan(self.live(), max_entries)

@@ -50,11 +50,14 @@ class VersionedStore(Store):
         self._commit(self.state.next(l0=(*self.state.l0, run) if run else self.state.l0, next_seq=seq + 1, published=seq, sources=sources))
         return True
 
-    def as_of(self, seq: int, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
-        return merge.live(merge.latest_per_key(self.log(lower, upper, seq), as_of=seq)).select("key", "seq", "value")
+    def as_of(self, seq: int, lower: bytes | None = None, upper: bytes | None = None, keys: list[bytes] | None = None) -> DataFrame:
+        low, high = (None if x is None else F.lit(x) for x in (lower, upper))
+        runs = pruning.holding(pruning.pruned(self.state.runs(), lower, upper, seq), keys)
+        rows = merge.among(merge.bounded(self._frame(runs), low, high), keys)
+        return merge.live(merge.latest_per_key(rows, as_of=seq)).select("key", "seq", "value")
 
-    def live(self, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
-        return self.as_of(self.state.published, lower, upper)
+    def live(self, lower: bytes | None = None, upper: bytes | None = None, keys: list[bytes] | None = None) -> DataFrame:
+        return self.as_of(self.state.published, lower, upper, keys)
 
     def snapshot(self) -> Snapshot:
         return Snapshot(self, self.state.published)
@@ -88,14 +91,14 @@ class Snapshot:
         self._store, self.sequence, self._held = store, sequence, True
         store.pins[sequence] += 1
 
-    def live(self, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
+    def live(self, lower: bytes | None = None, upper: bytes | None = None, keys: list[bytes] | None = None) -> DataFrame:
         if not self._held:
             raise StoreError("the snapshot is released")
-        return self._store.as_of(self.sequence, lower, upper)
+        return self._store.as_of(self.sequence, lower, upper, keys)
 
     def get(self, key, key_type: str = "bytes", value_type: str = "bytes"):
         wanted = codec.encode_python(key, key_type)
-        row = self.live(wanted, wanted).select(codec.decode(F.col("value"), value_type)).first()
+        row = self.live(keys=[wanted]).select(codec.decode(F.col("value"), value_type)).first()
         return None if row is None else bytes(row[0]) if value_type == "bytes" else row[0]
 
     def scan(self, max_entries: int | None = None) -> DataFrame:

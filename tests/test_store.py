@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runstore.functions import codec
 from runstore.plans import compaction, pruning
 from runstore.plans.compaction import Options
 from runstore.sources.manifest import Manifest, Run
@@ -120,11 +121,72 @@ def test_compaction_never_changes_a_scan(spark, tmp_path, strategy):
             assert pruning.disjoint(list(level))
 
 
+@pytest.mark.parametrize("behind", [1, 2, 5])
+def test_a_stale_writer_gets_an_error_however_far_behind(spark, tmp_path, behind):
+    filled(spark, tmp_path, [{0: 0}])
+    stale, other = Store.open(spark, str(tmp_path)), Store.open(spark, str(tmp_path))
+    for i in range(behind):
+        other.put(i + 1, i, "int", "int")
+    with pytest.raises(StoreError, match="another writer"):
+        stale.put(99, 99, "int", "int")
+    s = Store.open(spark, str(tmp_path))
+    assert s.state.version == other.state.version and [p[0] for p in pairs(s.scan())] == list(range(behind + 1))
+
+
+def test_opening_deletes_no_write_in_flight(spark, tmp_path, monkeypatch):
+    s, reader = filled(spark, tmp_path, [{1: 1}, {2: 2}]), Store.open(spark, str(tmp_path))
+    commit, before = Store._commit, reader.scan()
+    monkeypatch.setattr(Store, "_commit", lambda self, state: (Store.open(spark, str(tmp_path)), commit(self, state))[1])
+    s.put(3, 3, "int", "int")
+    s.compact()
+    assert [p[0] for p in pairs(Store.open(spark, str(tmp_path)).scan())] == [1, 2, 3] and [p[0] for p in pairs(before)] == [1, 2]
+
+
+def test_an_unfinished_manifest_is_no_commit(spark, tmp_path):
+    s = filled(spark, tmp_path, [{1: 1}, {2: 2}])
+    unfinished = tmp_path / f"manifest-{s.state.version + 1:012d}.json"
+    unfinished.write_text('{"format": 1, "vers')
+    s = Store.open(spark, str(tmp_path))
+    assert [p[0] for p in pairs(s.scan())] == [1, 2]
+    with pytest.raises(StoreError, match="another writer"):
+        s.put(3, 3, "int", "int")
+    s.vacuum(older_than=0)
+    Store.open(spark, str(tmp_path)).put(3, 3, "int", "int")
+    assert [p[0] for p in pairs(Store.open(spark, str(tmp_path)).scan())] == [1, 2, 3]
+
+
+def test_lookups_compare_keys_for_equality_and_open_only_files_that_may_hold_them(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path))
+    for low in (0, 1000):
+        s.put_frame(spark.range(low, low + 1000).selectExpr("id", "cast(id AS string) AS v"), "id", "v", "long", "string", "id")
+    wanted = codec.encode_python(17, "long")
+    found = s.live(keys=[wanted])
+    assert len(found.inputFiles()) < len(s.log().inputFiles())
+    assert "EqualTo(key" in found._jdf.queryExecution().toString() and s.get(17, "long", "string") == "17" and s.get(5000, "long", "string") is None
+    probes = spark.createDataFrame([(bytearray(codec.encode_python(k, "long")),) for k in (3, 1500, 7000)], "key binary")
+    assert sorted(r.found for r in s.multi_get(probes).collect()) == [False, True, True]
+    assert s.live(keys=[]).count() == 0
+
+
+def test_canonical_key_bytes_and_order(spark):
+    """Bytes as the formats define them, and order over negatives and bounds."""
+    values = {"int": [-(2**31), -1, 0, 0x01020304, 2**31 - 1], "long": [-(2**63), -1, 0, 0x0102030405060708, 2**63 - 1], "ushort": [0, 258, 65535], "uint": [0, 0x01020304, 2**32 - 1]}
+    for kind, xs in values.items():
+        rows = spark.createDataFrame([(x,) for x in xs], "x long").select(codec.encode(F.col("x").cast("int") if kind == "int" else F.col("x"), kind).alias("b"), "x").collect()
+        got = {r.x: bytes(r.b) for r in rows}
+        assert [got[x] for x in xs] == sorted(got.values()) and all(got[x] == codec.encode_python(x, kind) for x in xs)
+    assert codec.encode_python(0x01020304, "int").hex() == "81020304" and codec.encode_python(0x0102030405060708, "long").hex() == "8102030405060708"
+    assert codec.encode_python(258, "ushort").hex() == "0102" and codec.encode_python(-1, "int").hex() == "7fffffff"
+
+
 def test_recovery(spark, tmp_path):
     s = filled(spark, tmp_path, [{1: 1}, {2: 2}])
     (tmp_path / "runs" / "orphan").mkdir()
     s = Store.open(spark, str(tmp_path))
-    assert not (tmp_path / "runs" / "orphan").exists()
+    s.vacuum()
+    assert (tmp_path / "runs" / "orphan").exists()
+    s.vacuum(older_than=0)
+    assert not (tmp_path / "runs" / "orphan").exists() and [p[0] for p in pairs(s.scan())] == [1, 2]
     other = Store.open(spark, str(tmp_path))
     other.put(3, 3, "int", "int")
     with pytest.raises(StoreError, match="another writer"):
