@@ -5,7 +5,7 @@ their signatures, read from another place on.  Classes that stand together with
 values are a region, and its classes each other's candidates; in a region of more than CROWD classes the depth adapts: it
 is parted by ever longer common prefixes.  If its classes then still lie in several components, those outside the largest
 meet all others block by block, so none of its pairs is lost.  Short sketches of whole signatures select the pairs worth
-confirming.  Only as many are confirmed as it takes to know the components: first every class with the smallest
+confirming, and parities of whole sets, which never reject a link, spare most of the others the sets.  Only as many are confirmed as it takes to know the components: first every class with the smallest
 similar one, then what still lies in different components, until no region holds an untried pair across components.
 """
 
@@ -35,6 +35,8 @@ RANGE_ROWS = 1 << 18
 SPARSE = 4
 #: A pair is confirmed if the share of equal values is no more than so many standard deviations under the threshold.
 DEVIATIONS = 4
+#: Bits of a set's parity; they tell sets apart up to some 2,500 shingles, beyond that they reject less and less.
+PARITY = 2048
 _rng = np.random.default_rng(20240229)
 _FACTOR = _rng.integers(0, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 62, VALUES, dtype=np.uint64)
@@ -97,6 +99,23 @@ def unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((t | t >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int32)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """PARITY bits, of which every shingle of a set turns one."""
+    at = (s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=PARITY) & 1).tobytes()
+
+
+def possible(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """May pairs of sets of sizes ``na`` and ``nb`` with parities ``a`` and ``b`` (rows of 64-bit words) be linked? Never false
+    for a link: where parities differ, at least one shingle is in one set only."""
+    out = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    for s in range(0, len(out), 1 << 15):
+        part = slice(s, s + (1 << 15))
+        apart = np.bitwise_count(a[part] ^ b[part]).sum(axis=1, dtype=np.int64)
+        out[part] &= (100 + percent) * apart <= (100 - percent) * (na[part] + nb[part])
+    return out
+
+
 def _limits(percent: int) -> tuple[int, int]:
     """Unequal values in sketches up to which a pair may be linked, and is likely to be."""
     t = percent / 100
@@ -213,13 +232,13 @@ def _forest(least: int, likely: int, whole: bool):
 
 
 def _regions(columns: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Arrays of the columns, region by region, of rows sorted by the first; the last column is the sketch."""
+    """Arrays of the columns, region by region, of rows sorted by the first; the last column is bits, as 64-bit words."""
     held: list = []
     for b in batches:
         if not b.num_rows:
             continue
         *numbers, bits = (b.column(k) for k in columns)
-        arrays = [x.to_numpy() for x in numbers] + [np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, SKETCH // 8)]
+        arrays = [x.to_numpy() for x in numbers] + [np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(b.num_rows, -1)]
         cuts = [0, *(np.flatnonzero(arrays[0][1:] != arrays[0][:-1]) + 1), b.num_rows]
         for s, e in zip(cuts, cuts[1:]):
             if held and held[-1][0][0] != arrays[0][s]:
@@ -248,18 +267,25 @@ def _met(least: int, likely: int):
     return run
 
 
-def _proposals(width: int, least: int):
-    """Of rows (region, node, component, sketch) sorted by region: each class with its ``width`` most similar ones of other
-    components; and for a region that has more candidate pairs across components, a PARTIAL row of its own number."""
+def _proposals(width: int, least: int, percent: int):
+    """Of rows (region, node, component, n, bits: sketch and parity) sorted by region: each class with its ``width`` most
+    similar ones of other components that its parity leaves possible; and for a region that has more such pairs across
+    components, a PARTIAL row of its own number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region, node, component, sk in _regions((0, 1, 2, 3), batches):
+        for region, node, component, n, bits in _regions((0, 1, 2, 3, 4), batches):
             if component.min() == component.max():
                 continue
+            sk, sums = np.ascontiguousarray(bits[:, : SKETCH // 8]), bits[:, SKETCH // 8 :]
             out_a, out_b, more = [], [], False
             for s in range(0, len(node), 256):
                 miss = unequal(sk[s : s + 256, None, :], sk[None, :, :])
                 miss[(component[s : s + 256, None] == component[None, :]) | (miss > least)] = VALUES + 1
+                r, c = np.nonzero(miss <= VALUES)
+                for t in range(0, len(r), 1 << 15):
+                    i, j = r[t : t + (1 << 15)], c[t : t + (1 << 15)]
+                    no = ~possible(n[i + s], n[j], sums[i + s], sums[j], percent)
+                    miss[i[no], j[no]] = VALUES + 1
                 take = np.argsort(miss, axis=1, kind="stable")[:, :width]
                 r, c = np.nonzero(np.take_along_axis(miss, take, 1) <= VALUES)
                 more |= bool(((miss <= VALUES).sum(axis=1) > width).any())
@@ -275,15 +301,30 @@ def _proposals(width: int, least: int):
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
-    """node, n, set (8 bytes a shingle) of the documents whose id may be wanted; texts are read again rather than all sets stored."""
+    """node, n, parity, set (8 bytes a shingle) of the documents whose id may be wanted; texts are read again rather than all sets stored."""
     test = exact_dedup.maybe_repeated(docs.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t or "", size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "set"])
+            columns = [b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(parity, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "parity", "set"])
+
+    return docs.where(test(F.xxhash64("doc_id"))).mapInArrow(run, "node long, n long, parity binary, set binary")
+
+
+def _plausible(pairs: DataFrame, sums: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities (node, n, parity) leave possible."""
+    left = pairs.join(sums.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
+    both = left.join(sums.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        for b in batches:
+            ok = possible(b.column(2).to_numpy(), b.column(3).to_numpy(), words(b.column(4)), words(b.column(5)), percent)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return docs.where(test(F.xxhash64("doc_id"))).mapInArrow(run, "node long, n long, set binary")
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -386,24 +427,32 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(partial.select("node")).unionByName(crowd.select("node"))
     ends = shared.written(ends.select(F.xxhash64("node").alias("h")).distinct(), "ends")
     sets = shared.written(_sets(docs, exact_dedup.repeated_filter(ends, exact_dedup.filter_bits(ends.count()), times=1), size), "sets")
+    sums = shared.written(sets.select("node", "n", "parity").distinct(), "sums")
     known = shared.written(spark.createDataFrame([], "node long, component long"), "components")
 
     def confirm(some: DataFrame) -> None:
         nonlocal known
-        links = shared.written(_confirmed(some, sets, percent), "links")
+        some = shared.written(_plausible(some, sums, percent), "plausible")
+        if some.isEmpty():
+            return shared.dropped(some)
+        # Only sets of these pairs are shuffled.
+        marks = some.select(F.explode(F.array("a", "b")).alias("node")).select(F.xxhash64("node").alias("h"))
+        test = exact_dedup.maybe_repeated(spark, exact_dedup.repeated_filter(marks, exact_dedup.filter_bits(marks.count()), times=1))
+        links = shared.written(_confirmed(some, sets.where(test(F.xxhash64("node"))), percent), "links")
         if not links.isEmpty():
             known = _absorbed(known, links)
         shared.dropped(links)
+        shared.dropped(some)
 
     def apart(some: DataFrame) -> DataFrame:
         of = lambda df, end: df.join(known.select(F.col("node").alias(end), F.col("component").alias(f"{end}c")), end, "left").withColumn(f"{end}c", F.coalesce(f"{end}c", end))
         return of(of(some, "a"), "b").where("ac <> bc").select("a", "b")
 
     def rounds(rows: DataFrame, width: int) -> None:
-        left = rows
+        left = rows = shared.written(rows.join(sums, "node").select("region", "node", "n", F.concat("sketch", "parity").alias("bits")), "rows")
         while True:
-            placed = left.join(known, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"), "sketch")
-            proposed = shared.written(placed.repartition("region").sortWithinPartitions("region").mapInArrow(_proposals(width, least), _FOUND), "proposed")
+            placed = left.join(known, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"), "n", "bits")
+            proposed = shared.written(placed.repartition("region").sortWithinPartitions("region").mapInArrow(_proposals(width, least, percent), _FOUND), "proposed")
             some = shared.written(proposed.where(f"kind = {PAIR}").select("a", "b").distinct(), "some")
             if not some.isEmpty():
                 confirm(some)
@@ -425,7 +474,7 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         parted = shared.written(_parted(crowd, known), "parted")
         if not parted.isEmpty():
             rounds(parted, 2)
-    for table in (pairs, partial, crowd, sets):
+    for table in (pairs, partial, crowd, sets, sums):
         shared.dropped(table)
     return known
 

@@ -253,6 +253,36 @@ def test_depth_adapts_in_a_crowd_of_default_size(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(n)) and got[n] == n
 
 
+def test_parity_rejects_no_link():
+    """Sets of random sizes and overlaps, many at the threshold exactly."""
+    rng = np.random.default_rng(11)
+    rejected = unlike = 0
+    for _ in range(3000):
+        size, percent = int(rng.integers(1, 3000)), int(rng.choice([50, 80, 95]))
+        pool = rng.integers(0, 1 << 64, 2 * size + 2, dtype=np.uint64)
+        cut = int(rng.integers(0, size + 1)) if rng.random() < 0.5 else size * (100 - percent) // 100
+        one, two = np.unique(pool[:size]), np.unique(pool[cut : size + int(rng.integers(0, cut + 1))])
+        common = len(np.intersect1d(one, two))
+        linked = 100 * common >= percent * (len(one) + len(two) - common)
+        a, b = (np.frombuffer(near_dedup.parity(s), np.uint64)[None, :] for s in (one, two))
+        may = near_dedup.possible(np.array([len(one)]), np.array([len(two)]), a, b, percent)[0]
+        assert may or not linked
+        unlike, rejected = unlike + (not linked), rejected + (not may)
+    assert rejected > 0.7 * unlike > 500
+
+
+def test_sets_are_shuffled_for_likely_links_alone(spark, monkeypatch):
+    """A region of pairs just under the threshold, whose sketches pass, must not carry its sets pair by pair."""
+    seen, confirmed = [], near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, sets, percent: seen.append((pairs.count(), sets.count())) or confirmed(pairs, sets, percent))
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(f"x{i}y{k}" if (k + i) % 25 == 0 else w for k, w in enumerate(base))) for i in range(60)]
+    rows += [(100, "tail " + rows[7][1])]
+    got = near_dedup.report(documents(spark, rows), size=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(rows, 2, 80)
+    assert sum(n for n, _ in seen) < 200 and sum(n for _, n in seen) < 200
+
+
 def test_near_dedup_keeps_one_of_rows_that_share_a_doc_id(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
     rows = [(5, one), (5, one), (5, one + " x"), (9, one + " y"), (7, two), (7, "alone"), (None, two), (8, "free")]
