@@ -2,9 +2,10 @@
 
 Exact statistics of every whole text feed fixed base rules.  Of the texts that pass those, isolation forests (random
 splits; anomalous rows end on short paths) find odd combinations of statistics: one those of style, one those of counts
-that are zero in most texts, whose rare values would drown the former's.  Trees grow from a bounded sample of labelled
-rows, and a forest's threshold is the one that best parts those labelled bad from those labelled good while it keeps at
-least ``keep_share`` of the latter.
+that are zero in most texts, whose rare values would drown the former's.  Each tree grows from a few rows, as the method
+has it, drawn anew from all the labelled ones of one half, and a forest's threshold is the one that over all the labelled
+rows of the other half best parts those labelled bad from those labelled good while it keeps at least ``keep_share`` of the
+latter.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ WHITE = "\t\n\x0b\x0c\r "
 #: Ratios that each forest sees, derived from the counts.
 STYLE = ("mean_word", "symbols_per_word", "upper_share", "mark_share", "log_words_per_line")
 RARE = ("digit_share", "dup_line_share", "repeat_word_share")
+#: Trees of a forest and rows that each is grown from.
+TREES, TREE_ROWS = 128, 256
+#: Scores are multiples of one over so many, so that a table of counts holds exactly how they are spread.
+STEPS = 1 << 16
 
 
 def statistics(text: str) -> tuple[int, ...]:
@@ -101,13 +106,14 @@ class Forest:
     typical: float
 
     @classmethod
-    def grown(cls, x: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 7) -> Forest:
-        rng, sample = np.random.default_rng(seed), min(sample, len(x))
+    def grown(cls, x: np.ndarray, drawn: list[np.ndarray], seed: int = 7) -> Forest:
+        """A tree from each of the lists ``drawn`` of places of rows, which are equally long."""
+        rng, trees, sample = np.random.default_rng(seed), len(drawn), len(drawn[0])
         depth = max(1, int(np.ceil(np.log2(max(sample, 2)))) + 2)
         nodes = (1 << (depth + 1)) - 1
         feature, split, path = np.zeros((trees, nodes), np.int64), np.full((trees, nodes), np.inf), np.zeros((trees, nodes))
         for t in range(trees):
-            todo = [(0, 0, x[rng.choice(len(x), sample, replace=False)])]
+            todo = [(0, 0, x[drawn[t]])]
             while todo:
                 i, d, rows = todo.pop()
                 low, high = rows.min(0), rows.max(0)
@@ -124,14 +130,14 @@ class Forest:
         return cls(feature, split, path, depth, float(_average_path(sample)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly in (0, 1): 2 to the power of minus the mean path length over the typical one."""
+        """Anomaly in (0, 1): 2 to the power of minus the mean path length over the typical one, in STEPS."""
         total = np.zeros(len(x))
         for feature, split, path in zip(self.feature, self.split, self.path):
             at = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 at = 2 * at + 1 + (x[np.arange(len(x)), feature[at]] >= split[at])
             total += path[at]
-        return 2.0 ** (-total / len(self.path) / max(self.typical, 1e-9))
+        return np.round(2.0 ** (-total / len(self.path) / max(self.typical, 1e-9)) * STEPS) / STEPS
 
 
 @dataclass
@@ -152,53 +158,107 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def taught(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows of ``counts`` that pass the base rules and are labelled, equal ones once with their number ``_rows``, with
+    ``_quality`` and ``h``, of which a bit tells the half that grows the forests from the one that calibrates them."""
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("_quality IN (0, 1) AND doc_id IS NOT NULL")
+    marks = marks.groupBy("doc_id").agg(F.min("_quality").alias("_quality"))
+    rows = counts.where(~base_failed()).groupBy("doc_id", *COUNTS).agg(F.count(F.lit(1)).alias("_rows"))
+    return rows.join(marks, "doc_id").select("doc_id", "_quality", *COUNTS, F.xxhash64("doc_id").alias("h"), "_rows")
+
+
 def labelled(counts: DataFrame, labels: DataFrame, sample: int = 20_000):
-    """A pandas table of at most ``sample`` rows of ``counts`` that pass the base rules and are labelled, with ``_quality`` and
-    ``h``, of which a bit tells the half that grows the forest from the one that calibrates it."""
-    rows = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("_quality IN (0, 1) AND doc_id IS NOT NULL")
-    h = F.xxhash64("doc_id")
-    top = shared.sample_limit(rows, h, sample)
-    if top is not None:
-        rows = rows.where(h <= top)
-    rows = rows.groupBy("doc_id").agg(F.min("_quality").alias("_quality")).orderBy(h, "doc_id").limit(sample)
-    # At most ``sample`` rows of two numbers: the one bounded side here.
-    found = counts.where(~base_failed()).join(F.broadcast(rows), "doc_id").select("doc_id", "_quality", *COUNTS, h.alias("h"))
-    return found.orderBy("h", "doc_id", *COUNTS).limit(sample).toPandas()
+    """A pandas table of at most ``sample`` of the rows of :func:`taught`, to look at; :func:`fit` learns from all."""
+    return taught(counts, labels).orderBy("h", "doc_id", *COUNTS).limit(sample).toPandas()
 
 
 def _grows(h: np.ndarray) -> np.ndarray:
     return (h >> 7 & 1).astype(bool)
 
 
-def fit(counts: DataFrame, labels: DataFrame, sample: int = 20_000, keep_share: float = 0.98, seed: int = 7) -> Model:
+def _draws(g: np.ndarray) -> np.ndarray:
+    """Rows' numbers (of 64 bits) for each tree, which grows from the rows that have the smallest."""
+    x = g.view(np.uint64)[:, None] ^ (np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn(rows: DataFrame, total: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """COUNTS of the rows that any tree grows from, and each tree's places among them: of all ``total`` rows (with g, a hash)
+    the TREE_ROWS with the smallest numbers, or all if there are fewer. Only rows with a number under a first guess, about
+    twice as many as are needed whatever the total, leave the tasks."""
+    need, share = min(TREE_ROWS, total), min(1.0, (TREE_ROWS + 10 * TREE_ROWS**0.5 + 100) / max(total, 1))
+    while True:
+        top = np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+        def run(batches: Iterator[pa.RecordBatch], top: np.uint64 = top) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array((_draws(b.column(b.schema.get_field_index("g")).to_numpy()) <= top).any(axis=1)))
+
+        names = ("g", "doc_id", *COUNTS)
+        got = rows.select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in names)).toPandas().sort_values(list(names))
+        key = _draws(got["g"].to_numpy(np.int64))
+        if share >= 1 or ((key <= top).sum(axis=0) >= need).all():
+            return got[list(COUNTS)].to_numpy(np.int64), list(np.argsort(key, axis=0, kind="stable")[:need].T)
+        share = min(1.0, 2 * share)
+
+
+def spread(rows: DataFrame, forests: list[Forest]) -> np.ndarray:
+    """For each forest and quality the number of ``rows`` with each score (a multiple of 1 / STEPS)."""
+    sent = shared.shipped(rows.sparkSession, Model(forests, []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, 2, STEPS + 1), np.int64)
+        for b in batches:
+            get = lambda c: b.column(b.schema.get_field_index(c)).to_numpy()  # noqa: E731, B023
+            at = np.rint(sent().score(np.column_stack([get(c) for c in COUNTS])) * STEPS).astype(np.int64)
+            for k in range(2):
+                np.add.at(out[k], (get("_quality"), at[:, k]), get("_rows"))
+        forest, quality, step = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (forest, quality, step, out[forest, quality, step])], ["forest", "quality", "step", "n"])
+
+    # At most STEPS + 1 rows for each of two forests and two qualities, whatever the input.
+    found = rows.select(*COUNTS, "_quality", "_rows").mapInArrow(run, "forest long, quality long, step long, n long")
+    found = found.groupBy("forest", "quality", "step").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, 2, STEPS + 1), np.int64)
+    out[found["forest"], found["quality"], found["step"]] = found["n"]
+    return out
+
+
+def threshold(bad: np.ndarray, fine: np.ndarray, keep_share: float) -> float:
+    """From the good rows' quantile up, the score above which most bad rows lie for the fewest good ones; for no bad row none
+    goes. Of rows labelled bad and good: the number with each score."""
+    upto, worse = np.cumsum(fine), np.cumsum(bad)
+    place = keep_share * (upto[-1] - 1)
+    low, high = (int(np.searchsorted(upto, min(np.floor(place) + k, upto[-1] - 1), "right")) for k in (0, 1))
+    limit = low + (high - low) * (place - np.floor(place))
+    steps = np.flatnonzero(fine)
+    steps = np.unique(np.append(steps[steps >= limit], limit))
+    at = np.floor(steps).astype(np.int64)
+    gain = ((worse[-1] - worse[at]) / worse[-1] if worse[-1] else 0.0) + upto[at] / upto[-1]
+    return float(steps[int(np.argmax(gain))] / STEPS)
+
+
+def fit(counts: DataFrame, labels: DataFrame, keep_share: float = 0.98, seed: int = 7) -> Model:
     """Grow the forests and find their thresholds.
 
     ``counts`` as :func:`measured` gives them; ``labels`` has doc_id and quality (1 good, 0 bad; of several the
-    smallest). At most ``sample`` labels are used, those with the smallest hashes of doc_id, and of them the rows that pass
-    the base rules: half to grow and half to calibrate.
+    smallest). All labelled rows that pass the base rules are used: half are those that trees' rows are drawn from, half
+    calibrate. Equal rows are drawn once, but each counts in the calibration.
     Without rows labelled good nothing is rejected; without any labelled bad only what is odder than all good ones.
     Labels without doc_id or of other values, and labels of no document, teach nothing; empty tables give no forests.
     """
-    got = labelled(counts, labels, sample)
-    groups, good = features(got[list(COUNTS)].to_numpy(np.int64)), got["_quality"].to_numpy() == 1
-    grow = _grows(got["h"].to_numpy())
-    if (good & grow).sum() < 2 or (good & ~grow).sum() < 2:
-        if good.sum() < 2:
-            return Model([], [np.inf, np.inf])
-        grow = hold = np.ones(len(good), bool)
-    else:
-        hold = ~grow
-    forests, thresholds = [], []
-    for x in groups:
-        forests.append(Forest.grown(x[grow], seed=seed))
-        scores = forests[-1].score(x)
-        bad, fine = scores[hold & ~good], scores[hold & good]
-        limit = np.quantile(fine, keep_share)
-        # From the good rows' quantile up, where most bad rows go for the fewest good ones; for no bad row none goes.
-        steps = np.unique(np.append(fine[fine >= limit], limit))
-        gain = [((bad > t).mean() if len(bad) else 0.0) + (fine <= t).mean() for t in steps]
-        thresholds.append(float(steps[int(np.argmax(gain))]))
-    return Model(forests, thresholds)
+    grows = F.col("h").bitwiseAND(1 << 7) != 0
+    rows = shared.written(taught(counts, labels).withColumn("g", F.xxhash64("doc_id", *COUNTS)), "labelled")
+    good = {r["grows"]: r["n"] for r in rows.where("_quality = 1").groupBy(grows.alias("grows")).agg(F.sum("_rows").alias("n")).collect()}
+    if sum(good.values()) < 2:
+        return Model([], [np.inf, np.inf])
+    halved = min(good.get(True, 0), good.get(False, 0)) >= 2
+    grow, hold = (rows.where(grows), rows.where(~grows)) if halved else (rows, rows)
+    x, places = drawn(grow, grow.count())
+    forests = [Forest.grown(group, places, seed) for group in features(x)]
+    return Model(forests, [threshold(bad, fine, keep_share) for bad, fine in spread(hold, forests)])
 
 
 def scored(counts: DataFrame, model: Model) -> DataFrame:

@@ -217,6 +217,35 @@ def test_repeated_lines_are_odd_where_labels_say_so(spark):
     assert not any(r.base_failed for r in rows.values()) and sum(rows[i].kept for i, _ in good) >= 285 and sum(rows[i].kept for i, _ in bad) <= 2
 
 
+def test_all_labels_teach(spark):
+    """60,000 labels: those outside the 20,000 smallest hashes hold all the bad rows, and the thresholds must know them."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("id AS doc_id", "xxhash64(id) AS h", "xxhash64(id, 1) AS r")
+    late = f"(h > {rows.orderBy('h').limit(20_000).agg({'h': 'max'}).first()[0]} AND pmod(r, 100) = 0)"
+    rows = rows.selectExpr(
+        "doc_id", "300 + pmod(r, 97) AS n_words", f"1500 + pmod(r, 89) + IF({late}, 2000 + pmod(r, 777), 0) AS word_chars", "pmod(r, 5) AS n_symbols", f"IF({late}, 1 + pmod(r, 7), 0) AS n_dup_lines",
+        "pmod(r, 3) AS n_repeat_words", "20 + pmod(r, 11) AS n_lines", "30 + pmod(r, 13) AS n_upper", f"pmod(r, 17) + IF({late}, 200 + pmod(r, 71), 0) AS n_digit", "40 + pmod(r, 19) AS n_mark",
+    )
+    counts = quality.shared.written(rows, "counts")
+    model = quality.fit(counts, counts.selectExpr("doc_id", "IF(n_dup_lines > 0, 0, 1) AS quality"))
+    got = counts.selectExpr("*", "xxhash64(doc_id) AS h").toPandas()
+    held = ~quality._grows(got["h"].to_numpy())
+    rejected = (model.score(got[list(quality.COUNTS)].to_numpy())[held] > np.array(model.thresholds)).any(axis=1)
+    bad = got["n_dup_lines"].to_numpy()[held] > 0
+    assert bad.sum() > 100 and rejected[bad].mean() > 0.9 and rejected[~bad].mean() <= 0.04
+
+
+def test_threshold_from_counts_of_scores():
+    rng = np.random.default_rng(4)
+    for size in (2, 3, 50, 999):
+        fine, bad = (np.sort(rng.integers(0, 400, k)) for k in (size, size // 2))
+        limit = np.quantile(fine, 0.9)
+        steps = np.unique(np.append(fine[fine >= limit], limit))
+        gain = [(bad > t).mean() + (fine <= t).mean() if len(bad) else (fine <= t).mean() for t in steps]
+        got = quality.threshold(np.bincount(bad, minlength=401), np.bincount(fine, minlength=401), 0.9)
+        assert got == pytest.approx(steps[int(np.argmax(gain))] / quality.STEPS)
+
+
 def test_quality_of_held_out_rows(spark):
     """The half of the labels that doesn't grow the forests: bad rows are odder, and few good ones are rejected."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
