@@ -1,7 +1,7 @@
 """Packing of related documents into windows.
 
 A document's sketch is the square roots of its hashed token shares, reduced to the few principal numbers in which documents
-differ (the axes come from a bounded sample, every document is projected).  The nearest-neighbour graph covers the whole
+differ (the axes come from exact sums over all documents, and every document is projected).  The nearest-neighbour graph covers the whole
 table: documents are sorted by several Hilbert curves through turned and shifted sketch space, in each order everyone is
 compared with everyone in a window around it, across blocks' and partitions' ends, and the nearest found in any order are
 kept.  Over the graph greedy paths start at the unvisited document of lowest degree and go on to the nearest unvisited
@@ -25,8 +25,10 @@ from . import shared, tokens
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_ID = 0
-#: Hashed token counts of a document, principal numbers of its sketch, and documents at most from which axes are learnt.
-HASHED, SKETCH, SAMPLE = 128, 8, 10_000
+#: Hashed token counts of a document, and principal numbers of its sketch.
+HASHED, SKETCH = 128, 8
+#: Standard deviations on either side of the mean that curves tell apart; what is beyond stands at their ends.
+SPREAD = 3
 #: Sorted orders, bits of a number in a curve's key, documents of a block and on either side of it that it is compared with.
 ORDERS, BITS, BLOCK, HALO = 6, 7, 512, 256
 NEIGHBOURS = 8
@@ -137,21 +139,31 @@ def hilbert(cells: np.ndarray) -> np.ndarray:
     return key
 
 
-def fit_axes(table: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Axes:
-    """Axes from the shares of at most ``sample`` documents, those with the smallest hashes of their row."""
-    h = F.xxhash64("row")
-    top = shared.sample_limit(table.select("row"), h, sample)
-    rows = table.select("row", "shares") if top is None else table.where(h <= top).select("row", "shares")
-    got = [r["shares"] for r in rows.orderBy("row").limit(sample).collect()]
-    x = np.frombuffer(b"".join(got), np.uint8).reshape(-1, HASHED).astype(np.float64)
-    mean = x.mean(0) if len(x) else np.zeros(HASHED)
-    values, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
-    axes = vectors[:, np.argsort(-values)[:SKETCH]]
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's number of documents, sums of their shares and sums of products of two shares, in one row."""
+    n, first, second = 0, np.zeros(HASHED), np.zeros((HASHED, HASHED))
+    for b in batches:
+        x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, HASHED).astype(np.float64)
+        n, first, second = n + len(x), first + x.sum(0), second + x.T @ x  # whole numbers under 2 ** 53, so exact
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], first, second.ravel()]).astype("<i8").tobytes()], pa.binary())], ["sums"])
+
+
+def fit_axes(table: DataFrame, seed: int = 5) -> Axes:
+    """Axes from the shares of all documents, whatever their order: their mean and covariance are exact."""
+    total = np.zeros(1 + HASHED + HASHED * HASHED, np.int64)
+    for r in table.select("shares").mapInArrow(_sums, "sums binary").toLocalIterator():
+        total += np.frombuffer(r["sums"], "<i8")
+    n = max(int(total[0]), 1)
+    mean = total[1 : 1 + HASHED] / n
+    values, vectors = np.linalg.eigh(total[1 + HASHED :].reshape(HASHED, HASHED) / n - np.outer(mean, mean))
+    by = np.argsort(-values)[:SKETCH]
+    axes = vectors[:, by]
     axes *= np.where(axes.sum(0) < 0, -1, 1)
     rng = np.random.default_rng(seed)
     turns = np.stack([np.linalg.qr(rng.standard_normal((SKETCH, SKETCH)))[0] for _ in range(ORDERS)])
-    spread = np.quantile((x - mean) @ axes @ turns, [0.001, 0.999]) if len(x) else (0.0, 1.0)
-    return Axes(mean.astype(np.float32), axes.astype(np.float32), turns.astype(np.float32), rng.random((ORDERS, SKETCH)).astype(np.float32), float(spread[0]), float(max(spread[1] - spread[0], 1e-3)))
+    # Of turned numbers, on the average of all turns.
+    reach = SPREAD * float(np.sqrt(max(values[by].mean(), 0)))
+    return Axes(mean.astype(np.float32), axes.astype(np.float32), turns.astype(np.float32), rng.random((ORDERS, SKETCH)).astype(np.float32), -reach, max(2 * reach, 1e-3))
 
 
 def nearest(points: np.ndarray, others: np.ndarray, same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:

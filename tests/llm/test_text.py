@@ -382,6 +382,18 @@ def recall(table, axes, near):
     return np.mean(shares)
 
 
+def test_axes_come_from_all_documents(spark):
+    """12,000 documents, more than the sample of 10,000 that axes once came from, against numpy over all of them."""
+    rng = np.random.default_rng(9)
+    x = np.clip(rng.normal(60, 1, (12_000, packing.HASHED)) + rng.normal(0, 1, (12_000, 10)) @ rng.normal(0, 3, (10, packing.HASHED)), 0, 255).astype(np.uint8)
+    table = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(x)], "row long, shares binary").repartition(3)
+    axes, x = packing.fit_axes(table), x.astype(np.float64)
+    assert axes.mean == pytest.approx(x.mean(0), abs=1e-4)
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    want = vectors[:, np.argsort(-values)[: packing.SKETCH]]
+    assert np.abs((want * axes.axes).sum(0)) == pytest.approx(np.ones(packing.SKETCH), abs=1e-4)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_neighbour_recall_over_the_whole_table(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
